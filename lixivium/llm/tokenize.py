@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 CHUNK, OVERLAP = 16_384, 2_048  # characters
+STEP = 512  # texts whose ids a Python worker holds at once
 
 
 @lru_cache(maxsize=4)
@@ -86,8 +88,10 @@ def encode(df: DataFrame, *keep: str, id_col: str = "doc_id", text_col: str = "t
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoding(path)
         for batch in batches:
-            batch["ids"] = enc.encode_ordinary_batch([t or "" for t in batch.pop("_text")], num_threads=1)
-            yield batch
+            for at in range(0, len(batch), STEP):
+                some = batch.iloc[at : at + STEP].copy()
+                some["ids"] = [np.array(ids, np.int32) for ids in enc.encode_ordinary_batch([t or "" for t in some.pop("_text")], num_threads=1)]
+                yield some
 
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoding(path)
