@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SAMPLES = "samples string, smiles string, qed double, morgan_sim_to_lead double"
+_NULL = "\\N"  # empty texts stay empty, nulls stay null
 
 
 def text_lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
@@ -25,12 +26,12 @@ def manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 def write_samples(df: DataFrame, path: str) -> None:
     """Accepted samples as CSV with a header; texts are quoted and escaped so that any comes back."""
-    df.select("samples", "smiles", "qed", "morgan_sim_to_lead").write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    df.select("samples", "smiles", "qed", "morgan_sim_to_lead").write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", True).option("nullValue", _NULL).csv(path)
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
     """The same back, by its schema; multi-line texts are allowed."""
-    return spark.read.option("header", True).option("escape", '"').option("multiLine", True).schema(SAMPLES).csv(path)
+    return spark.read.option("header", True).option("escape", '"').option("multiLine", True).option("nullValue", _NULL).schema(SAMPLES).csv(path)
 
 
 def named_splits(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
