@@ -127,9 +127,8 @@ def shuffled(smiles, rng):
     visit(order[0])
 
     def write(a):
-        mark = {1: "", 2: "=", 3: "#"}
-        own = "".join(f"{mark[near[a][q if p == a else p]]}%{d + 9}" for (p, q), d in rings.items() if a in (p, q))
-        kids = [mark[near[a][b]] + write(b) for b in sorted((b for b in near[a] if parent.get(b) == a), key=order.index)]
+        own = "".join(f"%{d + 9}" for (p, q), d in rings.items() if a in (p, q))
+        kids = [write(b) for b in sorted((b for b in near[a] if parent.get(b) == a), key=order.index)]
         return f"[{symbol[a]}{f'H{h[a]}' if h[a] else ''}]" + own + "".join(f"({k})" for k in kids[:-1]) + "".join(kids[-1:])
 
     return write(order[0])
