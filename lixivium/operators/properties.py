@@ -87,7 +87,8 @@ def cells(df: DataFrame, catalog: DataFrame) -> DataFrame:
     types = F.broadcast(catalog.select(F.col("property_key").alias("_key"), "value_type"))  # one short row per property
     keyed = with_property_key(df.select("prop_id", "CID", "PROPERTY_NAME", "PROPERTY_VALUE").where(F.col("CID").isNotNull() & is_value(F.col("PROPERTY_VALUE"))))
     typed = keyed.join(types, F.col("property_key") == F.col("_key")).withColumn("number", F.when(F.col("value_type") != "text", first_number(F.col("PROPERTY_VALUE"))))
-    typed = typed.where((F.col("value_type") == "text") | F.col("number").isNotNull())
+    fits = F.col("number").isNotNull() & ((F.col("value_type") != "integer") | (F.abs("number") < 2.0**62))
+    typed = typed.where((F.col("value_type") == "text") | fits)
     best = F.min(F.struct("prop_id", "number", F.trim("PROPERTY_VALUE").alias("text")))
     return typed.groupBy("CID", "property_key", "value_type").agg(best.alias("b")).select("CID", "property_key", "value_type", "b.number", "b.text")
 

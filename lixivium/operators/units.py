@@ -198,12 +198,12 @@ def convert_properties(df: DataFrame) -> DataFrame:
 
 
 def rounded(quantity: Column, value: Column) -> Column:
-    """Three significant digits, then whole; temperatures only whole. Halves go to even."""
-    return F.when(quantity == "temperature", F.bround(value, 0)).otherwise(F.bround(significant(value, 3), 0)).cast("bigint")
+    """Three significant digits, then whole; temperatures only whole. Halves go to even; null beyond a bigint."""
+    return F.when(quantity == "temperature", F.bround(value, 0)).otherwise(F.bround(significant(value, 3), 0)).try_cast("bigint")
 
 
 def found(readings: DataFrame, properties: DataFrame) -> DataFrame:
     """table_name, row_id, common_value of both tables; a repeated row counts once."""
     a = convert_readings(readings).select(F.lit("assay_readings").alias("table_name"), F.col("reading_id").alias("row_id"), rounded(F.col("quantity"), F.col("common_value")).alias("common_value"))
     b = convert_properties(properties).select(F.lit("experimental_props").alias("table_name"), F.col("prop_id").alias("row_id"), rounded(F.col("quantity"), F.col("common_value")).alias("common_value"))
-    return a.unionByName(b).dropDuplicates(["table_name", "row_id"])
+    return a.unionByName(b).where(F.col("common_value").isNotNull()).dropDuplicates(["table_name", "row_id"])

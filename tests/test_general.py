@@ -57,6 +57,11 @@ def test_readings_that_are_no_case(spark):
     assert got == {}
 
 
+def test_numbers_beyond_any_range_give_no_row(spark):
+    assert readings(spark, ("IC50", None, "1e400", "nM"), ("IC50", None, "1e300", "M"), ("pIC50", None, "-500", ""), ("Temp", None, "9" * 400, "C")) == {}
+    assert wide(spark, [(1, 1, "Kovats RI", "1e30"), (2, 1, "Melting Point", "9" * 400)]) == {}
+
+
 def test_repeated_readings_count_once_and_extra_columns_are_ignored(spark):
     df = spark.createDataFrame([(1, "IC50", None, "5", "nM"), (1, "IC50", None, "5", "nM")], READING).withColumn("kind", F.lit("x")).withColumn("number", F.lit(7)).withColumn("v0", F.lit("clash"))
     assert units.found(df, spark.createDataFrame([], NO_PROPS)).count() == 1
