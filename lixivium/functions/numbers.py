@@ -20,11 +20,15 @@ def clean(text: Column) -> Column:
 
 
 def parse_number(text: Column) -> Column:
-    """The double a NUMBER states; null where it states none, or one beyond a double. A comma before exactly three digits groups, else it is a decimal mark."""
+    """The double a NUMBER states; null where it states none, infinite where it is beyond a double. A comma before exactly three digits groups, else it is a decimal mark."""
     grouped = F.when(text.contains(","), F.translate(F.regexp_replace(text, r",(?=\d{3}(?!\d))", ""), ",", ".")).otherwise(text)
     simple = grouped.try_cast("double")
-    value = F.coalesce(simple, F.regexp_replace(grouped, r"\s?[xX×]\s?10\^?", "e").try_cast("double"))
-    return F.when(F.abs(value) < F.lit(float("inf")), value)
+    return F.coalesce(simple, F.regexp_replace(grouped, r"\s?[xX×]\s?10\^?", "e").try_cast("double"))
+
+
+def finite(x: Column) -> Column:
+    """Whether x is a number, neither null nor infinite."""
+    return F.coalesce(F.abs(x) < F.lit(float("inf")), F.lit(False))
 
 
 def significant(x: Column, digits: int = 3) -> Column:

@@ -14,7 +14,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lixivium.functions.numbers import NUMBER, clean, computed_once, parse_number, significant
+from lixivium.functions.numbers import NUMBER, clean, computed_once, finite, parse_number, significant
 from lixivium.operators.properties import with_property_key
 
 # Units by kind, in lower case, with what one of them is in the common unit.
@@ -129,7 +129,7 @@ def convert_readings(df: DataFrame, source_defaults: DataFrame | None = None) ->
     rest = F.when(rest.rlike(r"[(/=]\s*[\d.+-]"), F.trim(F.regexp_replace(rest, rf"\s*[(/=]\s*{NUMBER}\s*[^\d\s][^()]*\)?$", ""))).otherwise(rest)
     field = F.btrim(clean(F.col("unit")), F.lit(" []()"))
     field = F.when(~F.lower(field).isin(NO_UNIT), _lower(field))
-    rows = computed_once(rows, *keep[:3], *keep[4:], "n", "kind", number=parse_number(F.substring_index("cut", _CUT, 1)), own=F.coalesce(F.nullif(_lower(rest), F.lit("")), field)).where(F.col("number").isNotNull())
+    rows = computed_once(rows, *keep[:3], *keep[4:], "n", "kind", number=parse_number(F.substring_index("cut", _CUT, 1)), own=F.coalesce(F.nullif(_lower(rest), F.lit("")), field)).where(finite(F.col("number")))
     name, text = clean(F.col("name")), clean(F.col("description"))
     rows = computed_once(
         rows,
@@ -192,7 +192,7 @@ def convert_properties(df: DataFrame) -> DataFrame:
     return (
         rows.select("prop_id", "kind", parse_number(F.col("part")[1]).alias("number"), unit.alias("unit"))
         .join(unit_table(df.sparkSession), (F.col("kind") == F.col("u_kind")) & (F.col("unit") == F.col("u_alias")))
-        .where(F.col("number").isNotNull())
+        .where(finite(F.col("number")))
         .select("prop_id", F.col("kind").alias("quantity"), "number", "unit", _common_unit(F.col("kind")).alias("common_unit"), (F.col("number") * F.col("u_factor") + F.col("u_offset")).alias("common_value"))
     )
 
