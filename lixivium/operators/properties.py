@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lixivium.functions.numbers import NUMBER, clean, finite, parse_number
+from lixivium.functions.numbers import NUMBER, clean, computed_once, finite, parse_number
 
 # The catalog's properties with the names, without blanks and punctuation, that stand for them.
 ALIASES = {
@@ -86,7 +86,7 @@ def cells(df: DataFrame, catalog: DataFrame) -> DataFrame:
     """CID, property_key, value_type, number, text: one row per cell; of several rows that of the lowest prop_id counts."""
     types = F.broadcast(catalog.select(F.col("property_key").alias("_key"), "value_type"))  # one short row per property
     keyed = with_property_key(df.select("prop_id", "CID", "PROPERTY_NAME", "PROPERTY_VALUE").where(F.col("CID").isNotNull() & is_value(F.col("PROPERTY_VALUE"))))
-    typed = keyed.join(types, F.col("property_key") == F.col("_key")).withColumn("number", F.when(F.col("value_type") != "text", first_number(F.col("PROPERTY_VALUE"))))
+    typed = computed_once(keyed.join(types, F.col("property_key") == F.col("_key")), "prop_id", "CID", "property_key", "value_type", "PROPERTY_VALUE", number=F.when(F.col("value_type") != "text", first_number(F.col("PROPERTY_VALUE"))))
     fits = finite(F.col("number")) & ((F.col("value_type") != "integer") | (F.abs("number") < 2.0**62))
     typed = typed.where((F.col("value_type") == "text") | fits)
     best = F.min(F.struct("prop_id", "number", F.trim("PROPERTY_VALUE").alias("text")))
