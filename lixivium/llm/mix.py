@@ -12,9 +12,10 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lixivium.functions.names import source_key
 from lixivium.llm.tokenize import TOKENIZER, encode
 from lixivium.session import stage
 
@@ -23,11 +24,6 @@ BUCKET_DOCS = 50_000  # documents of one source that one task orders
 MOST_SHARDS, LEAST_SHARD = 2048, 256  # shards, and blocks in one
 
 
-def source_key(source: Column) -> Column:
-    """One spelling of a source: lower case, blanks, hyphens and underscores alike."""
-    return F.regexp_replace(F.lower(F.trim(source)), r"[\s_-]+", "_")
-
-
 @dataclass
 class Source:
     name: str

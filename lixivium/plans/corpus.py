@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lixivium.det import bernoulli
-from lixivium.functions import arrays, tags
+from lixivium.functions import arrays, names, tags
 from lixivium.operators import blocks, ingest
 from lixivium.session import table
 
@@ -50,7 +50,7 @@ def shard_disjointness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def interleave_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower(F.trim("source")).alias("source")).where(F.col("source").isNotNull())
+    docs = table(spark, sf_dir, "documents").select("doc_id", names.source_key(F.col("source")).alias("source")).where(F.col("source").isNotNull())
     return blocks.interleave(docs, "source", "doc_id").select("position", "source", "doc_id")
 
 
