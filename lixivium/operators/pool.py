@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lixivium.det import order_key, uniform
+from lixivium.functions.similarity import tanimoto
 from lixivium.functions.tags import two_decimals
 
 NONE, TRAIN, VALID = 0, 1, 2
+DIVERSE_BLOCK = 2048  # entries that one step of the diverse walk brings to the driver
 
 
 def merge(pool: DataFrame, entries: DataFrame, size: int) -> DataFrame:
@@ -37,28 +39,33 @@ def train_valid(pool: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.where(F.col("status") == TRAIN), checked.where(F.col("status") == VALID)
 
 
-def diverse(pool: DataFrame, size: int, most: float, words: int) -> DataFrame:
-    """Greedy from the top: an entry stays unless its bits are more similar than most to one that stays; at most size.
+def diverse(rows: DataFrame, size: int, most: float, words: int, block: int = DIVERSE_BLOCK) -> DataFrame:
+    """Greedy from the top: an entry stays unless its key, or bits more similar than most to its own, already stay; at most size.
 
-    The pool must be bounded (a merge result): it is walked in one task.
+    All rows are walked, a block of the best at a time: each block is taken from those that none of the members so far
+    excludes, so its first always stays, and there are at most size blocks. The driver holds one block and the members.
     """
-    import numpy as np
-    import pandas as pd
-
-    from lixivium.operators.similarity_search import similarities
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "key"], ascending=False).reset_index(drop=True)
-        bits = np.stack([np.asarray(b).astype(np.uint32) for b in pdf["bits"]]).reshape(len(pdf), words)
-        s = similarities(*[np.unpackbits(bits.view(np.uint8), axis=1).astype(np.float32)] * 2)
-        kept: list[int] = []
-        for i in range(len(pdf)):
-            if len(kept) < size and not any(s[i, j] > most for j in kept):
-                kept.append(i)
-        return pdf.loc[kept, ["key", "score"]].assign(rank=np.arange(1, len(kept) + 1))
-
-    key = pool.schema["key"].dataType.simpleString()
-    return pool.groupBy(F.lit(0).alias("g")).applyInPandas(walk, f"key {key}, score double, rank int")
+    known = rows.where(F.col("key").isNotNull() & F.col("score").isNotNull()).select("key", F.col("score").cast("double").alias("score"), "bits")
+    kept: list = []
+    while len(kept) < size:
+        left = known
+        if kept:
+            members = F.lit([r["bits"] for r in kept]).cast("array<array<bigint>>")
+            left = known.where(~F.col("key").isin([r["key"] for r in kept]) & F.forall(members, lambda m: tanimoto(F.col("bits"), m, words) <= most))
+        best = left.orderBy(F.col("score").desc(), F.col("key").desc(), F.col("bits").desc()).limit(block).collect()  # at most block rows
+        for r in best:
+            if len(kept) < size and not any(r["key"] == k["key"] or _similarity(r["bits"], k["bits"]) > most for k in kept):
+                kept.append(r)
+        if len(best) < block:
+            break
+    key = rows.schema["key"].dataType.simpleString()
+    return rows.sparkSession.createDataFrame([(r["key"], r["score"], i + 1) for i, r in enumerate(kept)], f"key {key}, score double, rank int")
+
+
+def _similarity(a: list[int], b: list[int]) -> float:
+    """Tanimoto as in functions/similarity, exact at the threshold."""
+    union = sum((x | y).bit_count() for x, y in zip(a, b, strict=True))
+    return sum((x & y).bit_count() for x, y in zip(a, b, strict=True)) / union if union else 1.0
 
 
 def novel(candidates: DataFrame, buffer: DataFrame) -> DataFrame:

@@ -82,8 +82,7 @@ def pool_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pool_diverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _bits(spark, sf_dir).select(F.col("vec_id").alias("key"), (F.col("label") + F.col("vec_id") % 7 / 10.0).cast("double").alias("score"), "bits")
-    best = rows.orderBy(F.col("score").desc(), F.col("key").desc()).limit(200)
-    return pool.diverse(best, 50, 0.4, 2)
+    return pool.diverse(rows, 50, 0.4, 2)
 
 
 def novel_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
