@@ -135,5 +135,10 @@ def decode(df: DataFrame, id_col: str = "doc_id", path: str = TOKENIZER) -> Data
     return df.select(id_col, "ids").mapInPandas(back, f"`{id_col}` {key}, text string")
 
 
+def counts(texts: list[str]) -> list[int]:
+    """Tokens of each text, for operators that take a tokenizer."""
+    return [len(ids) for ids in encoding(TOKENIZER).encode_ordinary_batch(texts, num_threads=1)]
+
+
 def n_tokens(ids: Column) -> Column:
     return F.coalesce(F.size(ids), F.lit(0))

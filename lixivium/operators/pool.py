@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,6 +99,16 @@ def similars_text(similars: Column, low: float | None = None, high: float | None
     return F.coalesce(F.array_join(F.transform(similars, lambda r, i: F.concat(F.lit("[SIMILAR]"), r["SMILES"], F.lit(" "), two_decimals(value(r, i)), F.lit("[/SIMILAR]"))), ""), F.lit(""))
 
 
+def within_tokens(samples: DataFrame, text_col: str, most: int, count: Callable[[list[str]], list[int]]) -> DataFrame:
+    """The rows whose text has at most so many tokens; count gives the tokens of each text of a batch."""
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[np.array(count(batch[text_col].tolist()), int) <= most]
+
+    return samples.mapInPandas(keep, samples.schema)
+
+
 def prompt(similars: Column, smiles: Column, score: Column, key: Column, *, generation: bool, strategy: str = "default", with_score: bool = False, sim_range: tuple[float, float] = (0.9, 0.99), score_range: tuple[Column, float] | None = None, eos: str = "</s>", seed: str = "42") -> Column:
     """A training text, or the prompt of a generation that ends in an open SMILES tag.
 

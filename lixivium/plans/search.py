@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,14 +142,18 @@ def rejection_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _compounds(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("n_records"), F.count_if(good).alias("n_good"), F.bool_or(good).alias("any_good"))
 
 
-def rejection_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per record the sample text: similar molecules, score, target; those over 500 characters are dropped, as are targets among their similars."""
+def rejection_samples(spark: SparkSession, sf_dir: str, count: Callable[[list[str]], list[int]] | None = None) -> DataFrame:
+    """Per record the sample text: similar molecules, score, target; targets among their similars are dropped.
+
+    So are samples of more than 500 tokens, if count gives the tokens of texts; without a tokenizer samples of any length stay.
+    """
     rows = _compounds(spark, sf_dir).where((F.coalesce("SMILES", F.lit("")) != "") & F.col("QED").isNotNull())
     sims = F.filter("related", lambda r: r["SMILES"].isNotNull() & r["similarity"].isNotNull())
     top = F.slice(F.array_sort(F.transform(sims, lambda r: F.struct((-r["similarity"]).alias("s"), r["SMILES"].alias("SMILES"), r["similarity"].alias("similarity")))), 1, 5)
     text = F.concat(F.lit("</s>"), pool.similars_text(top), F.lit("[QED]"), two_decimals(F.col("QED")), F.lit("[/QED][START_SMILES]"), F.col("SMILES"), F.lit("[END_SMILES]</s>"))
     member = F.coalesce(F.exists(top, lambda r: r["SMILES"] == F.col("SMILES")), F.lit(False))
-    return rows.where(~member).select("record_id", text.alias("sample")).where(F.length("sample") <= 500)
+    samples = rows.where(~member).select("record_id", text.alias("sample"))
+    return pool.within_tokens(samples, "sample", 500, count) if count else samples
 
 
 def contains_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
