@@ -118,16 +118,18 @@ def random_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def similars_without_self(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each of eight prompts a subset of five of the pool, the entry itself dropped: five or four similars."""
+    """For each of eight prompts, of the eight best entries, a subset of five of the pool, the prompt's own entry dropped: five or four similars."""
     log = _log(spark, sf_dir)
-    best = pool.merge(log.withColumn("status", F.lit(0)), log.limit(0), 30).select("key")  # thirty rows
+    best = pool.merge(log.withColumn("status", F.lit(0)), log.limit(0), 30)  # thirty rows
     from pyspark.sql import Window
 
     from lixivium.det import order_key
 
-    prompts = best.withColumn("prompt", F.explode(F.expr("sequence(0L, 7L)")))
+    place = F.row_number().over(Window.orderBy(F.col("score").desc(), F.col("key").desc())) - 1
+    own = best.select(place.cast("bigint").alias("prompt"), F.col("key").alias("entry")).where("prompt < 8")
+    prompts = best.select("key").join(F.broadcast(own))  # eight rows
     drawn = prompts.withColumn("rn", F.row_number().over(Window.partitionBy("prompt").orderBy(order_key("42", F.col("prompt"), F.col("key")), "key"))).where("rn <= 5")
-    return drawn.groupBy("prompt").agg(F.array_join(F.array_sort(F.filter(F.collect_list("key"), lambda k: k != "m1")), ",").alias("similars"))
+    return drawn.groupBy("prompt").agg(F.array_join(F.array_sort(F.collect_list(F.when(F.col("key") != F.col("entry"), F.col("key")))), ",").alias("similars"))
 
 
 def unique_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

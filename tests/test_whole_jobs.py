@@ -46,3 +46,16 @@ def test_diverse_pool_is_the_same_in_blocks_of_any_size(spark, block):
         if len(kept) < 12 and not any(similarity(b, c) > 0.4 for _, c in kept):
             kept.append((key, b))
     assert [r["key"] for r in pool.diverse(df, 12, 0.4, 2, block).orderBy("rank").collect()] == [k for k, _ in kept]
+
+
+def test_prompts_do_not_get_their_own_entry(spark):
+    sf_dir = f"{DATA}/sf0.1"
+    sql = """
+        with l as (select concat('m', user_id) as key, value as score from events),
+        b as (select key, row_number() over (order by max(score) desc, key desc) - 1 as place from l group by 1 order by 2 limit 30),
+        o as (select place as prompt, key as entry from b where place < 8),
+        r as (select prompt, entry, key, row_number() over (partition by prompt order by md5(concat_ws('#', '42', prompt, key)), key) as rn from b, o)
+        select prompt, coalesce(string_agg(key, ',' order by key) filter (key <> entry), '') as similars from r where rn <= 5 group by 1"""
+    con = connection(sf_dir)
+    assert any(len(s.split(",")) == 4 for _, s in con.sql(sql).fetchall())
+    compare(spark, con, search.similars_without_self, sql, sf_dir)
