@@ -80,7 +80,8 @@ def encode(df: DataFrame, *keep: str, id_col: str = "doc_id", text_col: str = "t
     """df's columns keep, id_col and ids, the text's token ids without special tokens.
 
     Null and empty texts give an empty list. The strings of special tokens are ordinary text. id_col names a text: rows
-    that share an id share the text. Texts of up to one chunk are encoded where they lie; only chunks of longer ones move.
+    that share an id share the text. Texts of up to one chunk, and those without an id, are encoded where they lie; only chunks
+    of longer ones move.
     """
     key = df.schema[id_col].dataType.simpleString()
     kept = "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
@@ -102,7 +103,7 @@ def encode(df: DataFrame, *keep: str, id_col: str = "doc_id", text_col: str = "t
             yield batch.drop(columns=["_text", "_last"])
 
     text = F.col(text_col)
-    is_long = F.coalesce(F.length(text) > chunk + overlap, F.lit(False))
+    is_long = F.coalesce(F.length(text) > chunk + overlap, F.lit(False)) & F.col(id_col).isNotNull()  # chunks are joined by id
     plain = df.where(~is_long).select(id_col, *keep, text.alias("_text")).mapInPandas(whole, f"`{id_col}` {key}{kept}, ids array<int>")
     last = F.floor((F.length(text) - F.lit(overlap + 1)) / F.lit(chunk)).cast("int")
     long = df.where(is_long).dropDuplicates([id_col])

@@ -19,3 +19,11 @@ def test_samples_are_cut_by_tokens_not_characters(spark):
     assert got == expected
     assert any(len(t) > 500 for t in got.values())
     assert len(got) < len(every)
+
+
+def test_long_texts_without_an_id_are_encoded(spark):
+    texts = ["one two " * 4_000, "three four " * 3_000, "short", None]
+    df = spark.createDataFrame([(None, t) for t in texts] + [(1, texts[0])], "doc_id bigint, text string")
+    enc = tokenize.encoding(tokenize.TOKENIZER)
+    got = sorted((r["doc_id"] or 0, list(r["ids"])) for r in tokenize.encode(df).collect())
+    assert got == sorted([(0, enc.encode_ordinary(t or "")) for t in texts] + [(1, enc.encode_ordinary(texts[0]))])
