@@ -23,7 +23,11 @@ def events(spark: SparkSession, sf_dir: str, late: str = "1 hour") -> DataFrame:
 
 
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """What the stream gives until its sources are exhausted, written with a checkpoint so that a restart goes on from there."""
+    """What the stream gives until its sources are exhausted, written with a checkpoint so that a restart goes on from there.
+
+    In append mode windows and sessions that end after the last watermark (the latest event minus the allowed lateness)
+    stay open in the checkpoint and don't come out, as the stream might go on.
+    """
     spark = stream.sparkSession
     base = os.path.join(shared_dir(spark), f"stream-{name}-{uuid.uuid4().hex}")
     query = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
