@@ -2,29 +2,41 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def flatten_axes(parameters: dict) -> dict[str, list]:
-    """Axes of a grid: a list is an axis; a mapping of lists gives one axis per entry, named outer+inner."""
-    out: dict[str, list] = {}
-    for name, value in parameters.items():
-        if isinstance(value, dict):
-            out |= {f"{name}+{inner}": v for inner, v in value.items()}
-        else:
-            out[name] = value
-    return out
+class Axis(NamedTuple):
+    """One dimension of a grid: the settings it belongs to ('' for the run itself), its name there, its values."""
+
+    group: str
+    name: str
+    values: Sequence[object]
+
+    @property
+    def column(self) -> str:
+        return f"{self.group}_{self.name}" if self.group else self.name
 
 
-def product(spark: SparkSession, axes: dict[str, list]) -> DataFrame:
+def product(spark: SparkSession, axes: Sequence[Axis]) -> DataFrame:
     """One row per combination, a string column per axis: the axes are exploded one after the other, no rows meet."""
     rows = spark.range(1).drop("id")
-    for name, values in axes.items():
-        rows = rows.withColumn(name, F.explode(F.array(*[F.lit(str(v)) for v in values])))
+    for axis in axes:
+        rows = rows.withColumn(axis.column, F.explode(F.array(*[F.lit(str(v)) for v in axis.values])))
     return rows
 
 
+def by_group(axes: Sequence[Axis]) -> dict[str, Column]:
+    """Per group of axes a struct of its settings under their own names, as runs are configured."""
+    groups: dict[str, list[Column]] = {}
+    for axis in axes:
+        groups.setdefault(axis.group or "run", []).append(F.col(axis.column).alias(axis.name))
+    return {g: F.struct(*cols) for g, cols in groups.items()}
+
+
 def overlay(defaults: Column, changes: Column) -> Column:
     """Two maps in one; where both have a key the second wins."""
     keep = F.map_filter(defaults, lambda k, v: ~F.array_contains(F.map_keys(changes), k))

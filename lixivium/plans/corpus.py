@@ -195,8 +195,8 @@ SQL = {
     "micro_batches": "with d as (select doc_id, n_chars, (row_number() over (order by doc_id) - 1) // 30 as batch_id from documents) select batch_id, count(*) as n_docs, min(doc_id) as first_doc, sum(n_chars)::bigint as n_chars from d group by 1",
     "rank_shard": f"with r as (select *, ((row_number() over (partition by file order by line_number) - 1) % 8)::int as rank from {_LINES}) select file, rank, count(*) as n_lines, min(line_number) as first_line, sum(line_id)::bigint as id_sum from r group by 1, 2",
     "shard_disjointness": f"with r as (select *, (row_number() over (partition by file order by line_number) - 1) % 8 as rank from {_LINES}), e as (select file, line_id, count(distinct rank) as k from r group by 1, 2) select file, count(*) as n_lines, sum(k)::bigint as n_pairs, count(*) filter (k > 1) as n_shared from e group by 1",
-    "interleave_sources": """
-        with d as (select doc_id, lower(trim(source)) as source from documents where source is not null),
+    "interleave_sources": r"""
+        with d as (select doc_id, regexp_replace(lower(trim(source)), '[\s_-]+', '_', 'g') as source from documents where source is not null),
         r as (select *, row_number() over (partition by source order by doc_id) as rn, dense_rank() over (order by source) as s from d),
         m as (select min(c) as rounds, count(*) as k from (select source, count(*) as c from d group by 1))
         select (rn - 1) * k + s as position, source, doc_id from r, m where rn <= rounds""",

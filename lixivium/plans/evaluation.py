@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,13 +126,30 @@ def score_penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", F.size(F.filter(suppressed, lambda x: x == float("-inf"))).cast("bigint").alias("n_suppressed"), F.round(decayed[2], 6).alias("decayed"))
 
 
-_AXES = grid.flatten_axes({"strategy": ["default"], "pool_size": [10, 30, 50], "num_mols": [0, 1, 2, 3, 5], "num_similars": [0, 1, 2, 3, 5], "num_gens": [200, 400, 600], "temperature": ["1.0-1.0", "1.5-1.5", "1.0-1.5"], "tune": {"epochs": [1, 3, 5, 7, 9], "tolerance": [1, 3, 5, 7, 9], "rate": ["1e-4", "1e-5", "1e-6"]}})
+_AXES = [
+    grid.Axis("", "seed", [11, 12, 13, 14]),
+    grid.Axis("pool", "kept", [20, 40, 80, 160]),
+    grid.Axis("pool", "held_out", [0.1, 0.25]),
+    grid.Axis("prompt", "neighbours", [1, 4, 8]),
+    grid.Axis("prompt", "examples", [0, 2]),
+    grid.Axis("sampling", "ramp", ["0.7-1.1", "0.9-1.3", "1.0-2.0"]),
+    grid.Axis("fit", "rate", ["2e-4", "5e-5"]),
+    grid.Axis("fit", "passes", [2, 4, 6]),
+]
 
 
 def hparam_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every combination of the axes, one column each."""
     return grid.product(spark, _AXES)
 
 
+def run_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same combinations as the settings of runs: a JSON object per group of axes, counted per object."""
+    rows = grid.product(spark, _AXES)
+    each = F.array(*[F.struct(F.lit(g).alias("part"), F.to_json(c).alias("settings")) for g, c in grid.by_group(_AXES).items()])
+    return rows.select(F.inline(each)).groupBy("part", "settings").agg(F.count(F.lit(1)).alias("n_runs"))
+
+
 _DEFAULTS = {"pool_size": "10", "num_mols": "0", "eos": "</s>", "resume": "false", "profile": "true"}
 
 
@@ -208,7 +227,7 @@ def split_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-QUERIES = {f.__name__: f for f in (topn_means, top_auc, regression_metrics, numeric_answers, property_perplexity, tag_pairing, loss_plateau, patience_streak, tolerance_level, step_throughput, model_selection, tensor_diff_stats, flop_rollup, segment_cube, flop_formulas, peak_flops, score_penalties, hparam_grid, config_overlay, tag_pairs, resume_progress, temperature_schedule, lr_schedule, run_version, path_names, event_windows, event_sessions, rank_functions, split_sets)}
+QUERIES = {f.__name__: f for f in (topn_means, top_auc, regression_metrics, numeric_answers, property_perplexity, tag_pairing, loss_plateau, patience_streak, tolerance_level, step_throughput, model_selection, tensor_diff_stats, flop_rollup, segment_cube, flop_formulas, peak_flops, score_penalties, hparam_grid, run_settings, config_overlay, tag_pairs, resume_progress, temperature_schedule, lr_schedule, run_version, path_names, event_windows, event_sessions, rank_functions, split_sets)}
 
 _L = "l as (select event_id + 1 as c, value as s from events)"
 
@@ -258,7 +277,12 @@ SQL = {
         union all select 'conv', i, x[1] * list_product(w)::bigint * list_product(case when t then x[3:] else o[3:] end)::bigint from (values (0, [2, 3, 32, 32], [8, 3, 3, 3], [2, 8, 30, 30], false), (1, [2, 8, 15, 15], [8, 3, 2, 2], [2, 3, 30, 30], true)) t(i, x, w, o, t)""",
     "peak_flops": "with h as (select ['A6000', 'A100', 'unknown'][event_id % 3 + 1] as device from events) select device, count(*) as n, count(*) * case device when 'A6000' then 40.0::double when 'A100' then 312.0::double else 0.0::double end as tera from h group by 1",
     "score_penalties": "select vec_id, (1 + (vec_id % 64 in (5, 7))::int)::bigint as n_suppressed, round(embedding[3]::double + case when vec_id % 40 > 10 then abs(embedding[3]::double) * (power(1.02::double, vec_id % 40 - 10) - 1) else 0 end, 6) as decayed from embeddings",
-    "hparam_grid": "select * from " + ", ".join(f"(select unnest([{', '.join(repr(str(v)) for v in vs)}]) as \"{n}\")" for n, vs in _AXES.items()),
+    "hparam_grid": "select * from " + ", ".join(f"(select unnest([{', '.join(repr(str(v)) for v in a.values)}]) as \"{a.column}\")" for a in _AXES),
+    "run_settings": " union all ".join(
+        f"select '{g}' as part, concat('{{', {' , '.join(chr(39) + (',' if i else '') + chr(34) + a.name + chr(34) + ':' + chr(34) + chr(39) + ', ' + a.column + ', ' + chr(39) + chr(34) + chr(39) for i, a in enumerate(own))}, '}}') as settings, {math.prod(len(a.values) for a in _AXES) // math.prod(len(a.values) for a in own)}::bigint as n_runs from (select 1) "
+        + " ".join(f", (select unnest([{', '.join(repr(str(v)) for v in a.values)}]) as {a.column})" for a in own)
+        for g, own in ((g, [a for a in _AXES if (a.group or "run") == g]) for g in dict.fromkeys(a.group or "run" for a in _AXES))
+    ),
     "config_overlay": """select * from (values
         (1, 'eos=</s>,num_mols=0,pool_size=30,profile=true,resume=false', '--eos </s> --num_mols 0 --pool_size 30 --profile'),
         (2, 'eos=<eos>,num_mols=5,pool_size=10,profile=true,resume=false', '--eos <eos> --num_mols 5 --pool_size 10 --profile'),

@@ -38,6 +38,7 @@ def tanimoto_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def agg_tanimoto_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated rows (ids not divisible by 50) as the stock: how near its nearest is to each asked one, which isn't part of it."""
     rows = _bits(spark, sf_dir)
     return ss.mean_score(ss.aggregate_similarity(_asked(rows), rows.where(F.col("vec_id") % 50 != 0), 2, "max"))
 
@@ -53,7 +54,8 @@ def agg_tanimoto_power(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def internal_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ss.internal_diversity(_asked(_bits(spark, sf_dir)), 2)
+    rows = _bits(spark, sf_dir)
+    return ss.internal_diversity(_asked(rows), rows, 2)
 
 
 def ngram_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,7 +210,7 @@ SQL = {
     "agg_tanimoto_max": f"with {_E}, {_PAIRS}, g as (select query, max(s) as s from p where match % 50 <> 0 group by 1) select count(*) as n_queries, round(avg(s), 6) as score from g",
     "agg_tanimoto_mean": f"with {_E}, {_PAIRS}, g as (select query, avg(s) as s from p group by 1) select count(*) as n_queries, round(avg(s), 6) as score from g",
     "agg_tanimoto_power": f"with {_E}, {_PAIRS}, g as (select query, sqrt(avg(s * s)) as s from p group by 1) select count(*) as n_queries, round(avg(s), 6) as score from g",
-    "internal_diversity": f"with {_E}, {_PAIRS} select round(1 - avg(s), 6) as diversity from p where match % 50 = 0",
+    "internal_diversity": f"with {_E}, {_PAIRS} select round(1 - avg(s), 6) as diversity from p",
     "ngram_fingerprint": f"select record_id, len({_GRAMS}) as n_bits, array_to_string({_GRAMS}, ',') as bits from {_ONE} where SMILES is not null",
     "lead_similarity": f"""
         with c as (select record_id, {_GRAMS} as g from {_ONE} where coalesce(SMILES, '') <> ''), d as (select CID as lead, {_GRAMS} as h from control_compounds),
@@ -221,15 +223,22 @@ SQL = {
     "call_index": f"with {_LOG}, f as (select key, min(pos) as pos from l group by 1), n as (select key, row_number() over (order by pos) as call_idx from f) select key, call_idx, call_idx % 100 = 0 as logged from n",
     "random_subset": f"with {_LOG}, k as (select distinct key from l), r as (select key, row_number() over (order by md5(concat('42#', key)), key) as rank from k) select * from r where rank <= 20",
     "similars_without_self": f"""
-        with {_LOG}, b as (select key, max(score) as score from l group by 1 order by 2 desc, 1 desc limit 30),
-        r as (select range as prompt, key, row_number() over (partition by range order by md5(concat_ws('#', '42', range, key)), key) as rn from b, range(8))
-        select prompt, coalesce(string_agg(key, ',' order by key) filter (key <> 'm1'), '') as similars from r where rn <= 5 group by 1""",
+        with {_LOG}, b as (select key, row_number() over (order by max(score) desc, key desc) - 1 as place from l group by 1 order by 2 limit 30),
+        o as (select place as prompt, key as entry from b where place < 8),
+        r as (select prompt, entry, key, row_number() over (partition by prompt order by md5(concat_ws('#', '42', prompt, key)), key) as rn from b, o)
+        select prompt, coalesce(string_agg(key, ',' order by key) filter (key <> entry), '') as similars from r where rn <= 5 group by 1""",
+    "pool_diverse": """
+        with e as (select vec_id as key, (label + vec_id % 7 / 10.0::double)::double as score, list_transform(embedding, lambda x: case when x > 0 then 1.0::double else 0.0::double end) as b, list_sum(list_transform(embedding, lambda x: case when x > 0 then 1.0::double else 0.0::double end)) as n from embeddings),
+        l as (select list({'key': key, 'score': score, 'b': b, 'n': n} order by score desc, key desc) as xs from e),
+        k as (select list_reduce(xs, lambda kept, x: case when len(kept) >= 50 or len(list_filter(kept, lambda m: case when m.n + x.n = list_inner_product(m.b, x.b) then 1.0::double else list_inner_product(m.b, x.b) / (m.n + x.n - list_inner_product(m.b, x.b)) end > 0.4::double)) > 0 then kept else list_append(kept, x) end, []) as kept from l),
+        o as (select unnest(kept) as m, unnest(range(1, len(kept) + 1)) as rank from k)
+        select m.key as key, m.score as score, rank::int as rank from o""",
     "unique_topk": f"with {_LOG} select key, max(score) as score from l group by 1 order by 2 desc, 1 desc limit 15",
     "rejection_filter": f"select source, count(*) as n_records, count(*) filter (coalesce(QED >= 0.9 and {_NEAR} >= 0.4, false)) as n_good, bool_or(coalesce(QED >= 0.9 and {_NEAR} >= 0.4, false)) as any_good from {_ONE} group by 1",
     "rejection_samples": f"""
         with o as (select record_id, SMILES, QED, list_sort(list_transform({_SIMS}, lambda r: {{'s': -r.similarity, 'SMILES': r.SMILES, 'similarity': r.similarity}}))[1:5] as t from {_ONE} where coalesce(SMILES, '') <> '' and QED is not null),
         x as (select record_id, concat('</s>', {_sims_text("t", "r.similarity")}, '[QED]', printf('%.2f', QED), '[/QED][START_SMILES]', SMILES, '[END_SMILES]</s>') as sample from o where not coalesce(list_contains(list_transform(t, lambda r: r.SMILES), SMILES), false))
-        select * from x where length(sample) <= 500""",
+        select * from x""",
     "contains_entry": f"with x as (select lower(trim(split)) as split, coalesce(list_contains(list_transform(related, lambda r: r.SMILES), SMILES), false) as i from {_ONE}) select split, count(*) filter (i) as n_inside, count(*) filter (not i) as n_outside from x group by 1",
     "optim_prompts": f"""
         with o as (select record_id, SMILES, QED, coalesce({_SIMS}, [])[1:3] as t from {_ONE} where coalesce(SMILES, '') <> '' and QED is not null)

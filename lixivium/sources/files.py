@@ -8,6 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Fixed value: the columns of a file of accepted samples.
 SAMPLES = "samples string, smiles string, qed double, morgan_sim_to_lead double"
 _NULL = "\\N"  # empty texts stay empty, nulls stay null
 
@@ -50,7 +51,10 @@ def append_run_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def synthetic_lines(spark: SparkSession, files: int, lines: int) -> DataFrame:
-    """file, line, text: reproducible hashed lines for tests of readers."""
-    rows = spark.range(files * lines).select(F.expr(f"id div {lines}").alias("f"), F.expr(f"id % {lines}").alias("line"))
-    return rows.select(F.format_string("test_file_%d.jsonl", "f").alias("file"), "line", F.sha2(F.concat_ws(" - Line ", "f", "line"), 256).alias("text"))
+def synthetic_lines(spark: SparkSession, files: int, lines: int, path: str | None = None) -> DataFrame:
+    """part, number, text: reproducible hashed lines for tests of readers; with a path they are written below it, a folder a part."""
+    rows = spark.range(files * lines).select(F.expr(f"id div {lines}").alias("part"), F.expr(f"id % {lines}").alias("number"))
+    made = rows.select("part", "number", F.sha2(F.concat_ws("/", F.lit("line"), "part", "number"), 256).alias("text"))
+    if path is not None:
+        made.repartition("part").sortWithinPartitions("part", "number").select("part", "text").write.partitionBy("part").option("lineSep", "\n").text(path)
+    return made

@@ -66,10 +66,18 @@ def test_tanimoto_blocks_equal_the_pairs(spark):
         assert (r["match"], pytest.approx(r["similarity"])) == (best[1], -best[0])
     for r in ss.aggregate_similarity(asked, df, 2, "mean", 2.0).collect():
         assert r["score"] == pytest.approx(math.sqrt(np.mean([one(r["query"], j) ** 2 for j in bits])), abs=1e-6)
+    assert ss.internal_diversity(asked, df, 2).first()["diversity"] == pytest.approx(1 - np.mean([[one(q, j) for j in bits] for q in bits if q % 20 == 0]), abs=1e-6)
     with pytest.raises(ValueError, match="max or mean"):
         ss.aggregate_similarity(asked, df, 2, "sum")
 
 
+def test_similarities_are_exact_at_thresholds():
+    a = np.array([[1, 1, 1, 1, 0]], np.float32)
+    b = np.array([[1, 1, 0, 0, 1]], np.float32)
+    assert ss.similarities(a, b)[0, 0] == 2 / 5
+    assert not ss.similarities(a, b)[0, 0] > 0.4
+
+
 def test_pool_statuses(spark):
     rows = [(f"k{i}", float(i % 9), [0, 1, 2][i % 3]) for i in range(20)]
     got = pool.assign_statuses(spark.createDataFrame(rows, "key string, score double, status int"), 20, 0.5).collect()
@@ -130,7 +138,7 @@ def test_schedules(spark):
     got = spark.range(3).select(grid.temperature(F.col("id"), 200, 10000, 1.0, 1.5).alias("t")).collect()
     assert [r["t"] for r in got] == pytest.approx([1 + i * 200 / 9800 * 0.5 for i in range(3)])
     assert grid.train_steps(10, 0.2, 5, 2) == 17
-    assert grid.flatten_axes({"a": [1], "b": {"c": [2]}}) == {"a": [1], "b+c": [2]}
+    assert [a.column for a in (grid.Axis("", "a", [1]), grid.Axis("b", "c", [2]))] == ["a", "b_c"]
 
 
 def test_documents_fill_the_context():
