@@ -80,12 +80,12 @@ def p9_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(docs.select("doc_id", mix.source_key(F.col("source")).alias("source")), "doc_id").groupBy("source", "reading_level").agg(F.count(F.lit(1)).alias("n_documents"))
 
 
-def rejection_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The core's query of this name with a tokenizer: samples of at most 500 tokens."""
+def rejection_samples_500(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The core's rejection_samples with a tokenizer: samples of at most 500 tokens."""
     return search.rejection_samples(spark, sf_dir, tokenize.counts)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_blocks, p1_tokens, p2_found, p2_overlaps, p2_report, p3_found, p3_pieces, p7_ids, p7_round_trip, p8_mix, p8_shares, p9_found, p9_profile, rejection_samples)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_blocks, p1_tokens, p2_found, p2_overlaps, p2_report, p3_found, p3_pieces, p7_ids, p7_round_trip, p8_mix, p8_shares, p9_found, p9_profile, rejection_samples_500)}
 
 _KEPT = "len(list_filter(range(1, coalesce(len(input_ids), 0) + 1), lambda i: input_ids[i] is not null and coalesce(attention_mask[i], 1) = 1))"
 
