@@ -30,6 +30,15 @@ def p5_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shred.linked(shred.nodes(table(spark, sf_dir, "raw_lines")))
 
 
+def _children(kind: str):
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return shred.typed(shred.linked(shred.nodes(table(spark, sf_dir, "raw_lines"))), kind)
+
+    build.__name__ = f"p5_{kind}"
+    build.__doc__ = f"The table of {kind}: interval labels, link to the parent, fields as columns."
+    return build
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return properties.filled_cells(p6_wide(spark, sf_dir))
 
@@ -38,5 +47,5 @@ def p6_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return properties.widen(table(spark, sf_dir, "experimental_props"), table(spark, sf_dir, "property_catalog"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_summary, p5_found, p5_nodes, p6_found, p6_wide)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_summary, p5_found, p5_nodes, *map(_children, shred.PARENTS), p6_found, p6_wide)}
 SQL: dict[str, str] = {}

@@ -200,3 +200,29 @@ def test_intervals_contain_their_children():
 def test_deep_nesting_is_broken_not_fatal():
     assert shred.decode("[" * 100_000) is None
     assert shred.decode('{"a":' * 100_000 + "1" + "}" * 100_000) is None
+
+
+def test_legal_but_odd_lines_run_through(spark):
+    """Encoded nine times over; a child 600 lists deep; a superscript as key; a lone surrogate; a number of 5,000 digits as key."""
+    nine = json.dumps({"synonyms": ["a"]})
+    for _ in range(9):
+        nine = json.dumps(nine)
+    deep = '{"synonyms": ' + "[" * 600 + '"d"' + "]" * 600 + "}"
+    odd = json.dumps({"related": {"²": {"smiles": "C"}}})
+    lone = '{"synonyms": ["\\ud800", {"name": "x\\udfff"}]}'
+    digits = json.dumps({"synonyms": {"9" * 5000: "late", "3": "early"}})
+    own = '{"assays": [{"name": "n", "junk": ' + "[" * 600 + "1" + "]" * 600 + "}]}"
+    got = children(spark, nine, deep, odd, lone, digits, own)
+    assert got == [(0, "synonyms", -1, 0, "a"), (1, "synonyms", -1, 0, "d"), (2, "related", -1, 0, ""), (3, "synonyms", -1, 0, "\ufffd"), (3, "synonyms", -1, 1, "x\ufffd"), (4, "synonyms", -1, 0, "early"), (4, "synonyms", -1, 1, "late"), (5, "assays", -1, 0, "n")]
+
+
+def test_tables_by_type_are_linked(spark):
+    line = {"SYNONYMS": ["A"], "assays": [{"Name": "x", "NAME ": "", "description": "d", "variables": [{"name": "v", "value": 5, "unit": None}]}, {"name": "y", "variables": [{"name": "w", "extra": {"a": [1]}}, {"value": {"a": 1}}]}]}
+    df = spark.createDataFrame([(7, json.dumps(line))], "line_id bigint, text string")
+    tables = {k: t.orderBy("pre").collect() for k, t in shred.node_tables(shred.nodes(df)).items()}
+    assays = {r["pos"]: r for r in tables["assays"]}
+    assert [(r["name"], r["description"]) for r in tables["assays"]] == [("x", "d"), ("y", None)]
+    assert [(r["parent_pos"], r["pos"], r["name"], r["value"], r["unit"]) for r in tables["variables"]] == [(0, 0, "v", "5", None), (1, 0, "w", None, None), (1, 1, None, '{"a":1}', None)]
+    assert all(r["parent_pre"] == assays[r["parent_pos"]]["pre"] and assays[r["parent_pos"]]["pre"] < r["pre"] < r["post"] < assays[r["parent_pos"]]["post"] for r in tables["variables"])
+    assert [(r["name"], r["parent_pre"]) for r in tables["synonyms"]] == [("A", 0)]
+    assert tables["related"] == []
