@@ -34,6 +34,16 @@ def p2_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.overlaps(overlap.staged(table(spark, sf_dir, "compounds")))
 
 
+def p2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of class representatives, exact and near, with the numbers of records of both."""
+    return overlap.class_links(overlap.staged(table(spark, sf_dir, "compounds")))
+
+
+def p2_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classes of each record, by its text and by its CID."""
+    return overlap.members(overlap.staged(table(spark, sf_dir, "compounds")))
+
+
 def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlaps counted per split and source."""
     return overlap.report(overlap.staged(table(spark, sf_dir, "compounds")))
@@ -85,7 +95,7 @@ def rejection_samples_500(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.rejection_samples(spark, sf_dir, tokenize.counts)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_blocks, p1_tokens, p2_found, p2_overlaps, p2_report, p3_found, p3_pieces, p7_ids, p7_round_trip, p8_mix, p8_shares, p9_found, p9_profile, rejection_samples_500)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_blocks, p1_tokens, p2_found, p2_overlaps, p2_links, p2_members, p2_report, p3_found, p3_pieces, p7_ids, p7_round_trip, p8_mix, p8_shares, p9_found, p9_profile, rejection_samples_500)}
 
 _KEPT = "len(list_filter(range(1, coalesce(len(input_ids), 0) + 1), lambda i: input_ids[i] is not null and coalesce(attention_mask[i], 1) = 1))"
 

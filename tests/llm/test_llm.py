@@ -169,18 +169,56 @@ def test_overlaps_equal_brute_force(spark):
         (11, 77, "CCCCCCBr", "test", "a"),
         (None, 5, "CCO", "test", "a"),
     ]
-    df = spark.createDataFrame(rows, COMPOUND).withColumn("part", F.lit("clash")).withColumn("chunks", F.lit("clash"))
+    df = spark.createDataFrame(rows, COMPOUND).withColumn("part", F.lit("clash")).withColumn("text", F.lit("clash"))
     recs = overlap.staged(df)
     assert sorted(tuple(r) for r in overlap.pairs(recs).collect()) == [(1, 2), (1, 3), (2, 10), (3, 10), (4, 6)]
     got = {r["record_id"]: r for r in overlap.overlaps(recs).collect()}
     assert set(got) >= {2, 3, 4}
     assert (got[2]["n_same_cid"], got[3]["n_same_text"], got[4]["n_same_text"]) == (2, 2, 1)
+    assert (got[2]["text_class"], got[2]["kind"], got[3]["n_near"], got[3]["smiles_overlap"]) == (None, "exact", 0, 1.0)
     report = {(r["split"], r["source"]): (r["n_records"], r["n_exact"]) for r in overlap.report(recs).collect()}
     assert report[("validation", None)] == (1, 1)
     assert report[("test", "a")] == (2, 1)
     assert overlap.pairs(overlap.staged(df.limit(0))).count() == 0
 
 
+def test_near_links_equal_brute_force(spark):
+    """Every pair of texts that share four fifths of the longer one in chunks, among molecules changed in one place."""
+    from collections import Counter
+
+    rng = random.Random(9)
+    units = ["CC(C)", "c1ccccc1", "C(=O)N", "CCO", "C1CCNCC1", "S(=O)(=O)", "C#N", "OC(F)(F)F", "N(C)C", "C(Br)C"]
+    rows, i = [], 0
+    for _ in range(40):
+        base = [rng.choice(units) for _ in range(24)]
+        for k in range(8):
+            word = list(base)
+            if k % 4 == 3:
+                word[rng.randrange(len(word))] = rng.choice(units)
+            rows.append((i := i + 1, None, "C" + "".join(word) + ["F", "Cl", "Br", "I", "O", "N"][rng.randrange(6)], "train" if k % 2 else "test", "a"))
+    recs = overlap.staged(spark.createDataFrame(rows, COMPOUND))
+    canon = dict(zip([r[2] for r in rows], molecule.canonical_texts([r[2] for r in rows]), strict=True))
+    texts = {p: {canon[r[2]] for r in rows if (r[3] == "train") == (p == "train")} for p in ("train", "test")}
+    chunks = {t: Counter(overlap.cut_chunks(t)) for ts in texts.values() for t in ts}
+    shared = lambda a, b: sum(len(c) * min(n, chunks[b][c]) for c, n in chunks[a].items())
+    expected = {(e, t) for e in texts["test"] for t in texts["train"] if shared(e, t) >= 0.8 * max(len(e), len(t))}
+    all_ = overlap.classes(recs)
+    name = {r["class_id"]: r["text"] for r in all_.collect()}
+    got = {(name[r["e_class"]], name[r["t_class"]]) for r in overlap.links(all_).collect()}
+    assert got == expected
+    near = [p for p in expected if p[0] != p[1]]
+    assert len(near) >= 5
+    rows_ = {r["record_id"]: r for r in overlap.overlaps(recs).collect()}
+    for r in rows:
+        if r[3] == "test":
+            t = canon[r[2]]
+            others = {b for a, b in near if a == t}
+            n = sum(canon[x[2]] in others for x in rows if x[3] == "train")
+            assert (rows_[r[0]]["n_near"] if r[0] in rows_ else 0) == n
+            if others:
+                assert name[rows_[r[0]]["near_class"]] in others
+
+
 def test_one_molecule_may_be_most_of_the_table(spark):
     rows = [(i, None, "CCO" if i % 3 else "C" * (i % 50 + 1), "test" if i % 50 == 0 else "train", "a") for i in range(1, 1000)]
     recs = overlap.staged(spark.createDataFrame(rows, COMPOUND))
