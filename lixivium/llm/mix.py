@@ -1,17 +1,20 @@
 """Sources mixed to target shares of the tokens, small ones repeated at most a capped number of times.
 
-Each source's documents, in pseudorandom order, are packed end to end into blocks of a fixed number of tokens. Output
-shards draw their source counts at random without replacement from the planned totals (a multinomial draw held to the
-targets), each slot is mapped through a pseudorandom permutation of its source's block numbers, a new one for every
-repeat, and slots and blocks are joined by number. Nothing is grouped by source alone, so a source may hold most rows.
+Each source's documents are packed end to end into blocks of a fixed number of tokens. Output shards draw their source
+counts from a multinomial distribution over what is left of the plan, and the last one takes what remains, so the totals
+are the planned ones. Each slot is mapped through a pseudorandom permutation of its source's block numbers, a new one for
+every repeat, and slots and blocks are joined by number. Nothing is grouped by source alone, so a source may hold most rows.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +23,9 @@ from lixivium.llm.tokenize import TOKENIZER, encode
 from lixivium.session import stage
 
 BLOCK = 2048  # tokens
-BUCKET_DOCS = 50_000  # documents of one source that one task orders
-MOST_SHARDS, LEAST_SHARD = 2048, 256  # shards, and blocks in one
+SHARD = 256  # blocks of an output shard, at any size
+GROUPS = 1024  # groups of consecutive shards that the driver draws; each is drawn further by a task
+SMALL = 1_000_000  # rows of a table that may be broadcast: 32 MB
 
 
 @dataclass
@@ -34,12 +38,32 @@ class Source:
     planned: int = 0  # output blocks
 
 
-def tokenized(docs: DataFrame, targets: DataFrame, buckets: int, path: str = TOKENIZER) -> DataFrame:
-    """doc_id, source, bucket, n, ids of the documents with tokens whose source has a target; the targets are few by nature."""
+def _placing():
+    """Numbers the tokens of each source within the task."""
+    part = TaskContext.get().partitionId() if TaskContext.get() else 0
+    ends: dict[str, int] = {}
+
+    def place(rows: pd.DataFrame) -> pd.DataFrame:
+        n = rows["ids"].map(len).to_numpy(np.int64)
+        rows, n = rows[n > 0].copy(), n[n > 0]
+        inside = np.empty(len(rows), np.int64)
+        for i, (s, k) in enumerate(zip(rows["source"], n.tolist(), strict=True)):
+            inside[i] = ends.get(s, 0)
+            ends[s] = int(inside[i]) + k
+        return rows.assign(part=part, inside=inside, n=n)
+
+    return place
+
+
+def tokenized(docs: DataFrame, targets: DataFrame, path: str = TOKENIZER) -> DataFrame:
+    """doc_id, source, ids, part, inside, n of the documents with tokens whose source has a target; the targets are few by nature.
+
+    inside: the source's tokens before the document in its part, which is the task that read it. So the order of documents
+    is that of the table, nothing is shuffled, and the blocks depend on how the table is split into tasks; they are stored once.
+    """
     wanted = F.broadcast(targets.select(source_key(F.col("source")).alias("source")).distinct())
     keyed = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", source_key(F.col("source")).alias("source")).join(wanted, "source", "left_semi")
-    rows = encode(keyed, "source", path=path)
-    return rows.where(F.size("ids") > 0).select("doc_id", "source", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket"), F.size("ids").alias("n"), "ids")
+    return encode(keyed, "source", path=path, finish=_placing, adds="part int, inside bigint, n bigint")
 
 
 def plan(tokens: DataFrame, targets: DataFrame, total_tokens: int | None = None, block: int = BLOCK) -> list[Source]:
@@ -72,48 +96,77 @@ def _permutation(n: int, rng: np.random.Generator) -> tuple[int, int]:
     return a, int(rng.integers(0, n))
 
 
+def draw(left: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of size slots each source gets: multinomial with the shares of what is left, no source above what it has left."""
+    if size >= left.sum():
+        return left.copy()
+    out = np.zeros_like(left)
+    while (need := size - int(out.sum())) > 0:
+        room = left - out
+        out += np.minimum(rng.multinomial(need, room / room.sum()), room)
+    return out
+
+
+SLOT_SCHEMA = "shard bigint, i int, k0 bigint, k bigint, first bigint, size bigint, a bigint, c bigint"
+
+
 def slots(spark, sources: list[Source], seed: int = 42) -> DataFrame:
-    """shard, slot, source, block, repeat: one row per output block."""
+    """shard, slot, source, block, repeat: one row per output block; shards of SHARD blocks, of which tasks draw GROUPS groups."""
     rng = np.random.default_rng(seed)
-    total = sum(s.planned for s in sources)
-    size = max(LEAST_SHARD, -(-total // MOST_SHARDS))
-    left, start, rows = np.array([s.planned for s in sources]), np.zeros(len(sources), np.int64), []
-    maps = [[_permutation(s.blocks, rng) for _ in range(-(-s.planned // s.blocks))] if s.blocks else [] for s in sources]
-    for shard in range(-(-total // size)):
-        here = int(min(size, left.sum()))
-        drawn = rng.multivariate_hypergeometric(left, here, method="marginals")
-        a, c = _permutation(here, rng)
-        first = 0
-        for i, s in enumerate(sources):
-            if k := int(drawn[i]):
-                rows.append((shard, _key(s.name), int(start[i]), k, first, here, a, c, s.blocks, [list(m) for m in maps[i]]))
-                start[i] += k
-                first += k
-        left = left - drawn
-    schema = "shard int, source string, k0 bigint, k bigint, first bigint, size bigint, a bigint, c bigint, n bigint, maps array<array<bigint>>"
-    drawn_rows = spark.createDataFrame(rows, schema)
-    each = drawn_rows.select("*", F.explode(F.expr("sequence(0L, k - 1)")).alias("i")).withColumn("repeat", F.expr("cast((k0 + i) div n as int)"))
-    return each.select("shard", F.expr("(a * (first + i) + c) % size").alias("slot"), "source", F.expr("(maps[repeat][0] * ((k0 + i) % n) + maps[repeat][1]) % n").alias("block"), "repeat")
+    left = np.array([s.planned for s in sources], np.int64)
+    total = int(left.sum())
+    shards = -(-total // (SHARD * GROUPS))  # in a group
+    groups, start = [], np.zeros(len(sources), np.int64)
+    for g in range(-(-total // (SHARD * shards)) if total else 0):
+        drawn = draw(left, SHARD * shards, rng)
+        groups.append((g * shards, drawn.tolist(), start.tolist()))
+        left, start = left - drawn, start + drawn
+    maps = [(i, _key(s.name), s.blocks, [list(_permutation(s.blocks, rng)) for _ in range(-(-s.planned // s.blocks))] if s.blocks else []) for i, s in enumerate(sources)]
+
+    def shards_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [c.split()[0] for c in SLOT_SCHEMA.split(", ")]
+        for batch in batches:
+            for no, counts, k0 in zip(batch["first"].tolist(), batch["counts"], batch["start"], strict=True):
+                own, at, here = np.array(counts, np.int64), np.array(k0, np.int64), np.random.default_rng([seed, no])
+                rows = []
+                while own.sum():
+                    drawn = draw(own, SHARD, here)
+                    size = int(drawn.sum())
+                    a, c = _permutation(size, here)
+                    before = np.cumsum(drawn) - drawn
+                    rows += [(no, i, int(at[i]), int(k), int(before[i]), size, a, c) for i, k in enumerate(drawn) if k]
+                    own, at, no = own - drawn, at + drawn, no + 1
+                    if len(rows) > 20_000:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows = []
+                yield pd.DataFrame(rows, columns=columns)
+
+    drawn_rows = spark.createDataFrame(groups, "first bigint, counts array<bigint>, start array<bigint>").mapInPandas(shards_of, SLOT_SCHEMA)
+    info = F.broadcast(spark.createDataFrame(maps, "i int, source string, n bigint, maps array<array<bigint>>"))  # a row a target
+    each = drawn_rows.join(info, "i").select("*", F.explode(F.expr("sequence(0L, k - 1)")).alias("j")).withColumn("repeat", F.expr("cast((k0 + j) div n as int)"))
+    return each.select("shard", F.expr("(a * (first + j) + c) % size").alias("slot"), "source", F.expr("(maps[repeat][0] * ((k0 + j) % n) + maps[repeat][1]) % n").alias("block"), "repeat")
 
 
 def blocks(tokens: DataFrame, block: int = BLOCK) -> DataFrame:
-    """source, block, n_tokens, doc_ids, input_ids: each source's documents end to end, cut every block tokens; the last is shorter."""
-    sums = tokens.groupBy("source", "bucket").agg(F.sum("n").alias("total"))
-    before = F.coalesce(F.sum("total").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sums.select("source", "bucket", before.alias("start"))
-    inside = Window.partitionBy("source", "bucket").orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = tokens.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(starts, ["source", "bucket"]).withColumn("at", F.col("start") + F.col("inside"))
+    """source, block, n_tokens, doc_ids, input_ids: each source's documents end to end, cut every block tokens; the last is shorter.
+
+    Only numbers are summed up; the ids move once, from where they are stored to their block.
+    """
+    sums = tokens.groupBy("source", "part").agg(F.sum("n").alias("total"))
+    before = F.coalesce(F.sum("total").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a task
+    starts = sums.select("source", "part", before.alias("start"))
+    if sums.count() <= SMALL:
+        starts = F.broadcast(starts)
+    placed = tokens.join(starts, ["source", "part"]).withColumn("at", F.col("start") + F.col("inside"))
     parts = placed.select("source", "doc_id", "at", "n", "ids", F.explode(F.expr(f"sequence(at div {block}, (at + n - 1) div {block})")).alias("block"))
     parts = parts.withColumn("skip", F.greatest(F.lit(0), F.col("block") * block - F.col("at")))
-    cut = parts.select("source", "block", "doc_id", (F.col("at") + F.col("skip")).alias("at"), F.expr(f"slice(ids, cast(skip + 1 as int), cast({block} as int))").alias("ids"), "skip", F.expr(f"(block + 1) * {block} - (at + skip)").alias("room"))
-    cut = cut.withColumn("ids", F.expr("slice(ids, 1, cast(room as int))"))
+    cut = parts.select("source", "block", "doc_id", (F.col("at") + F.col("skip")).alias("at"), F.expr(f"slice(ids, cast(skip + 1 as int), cast(least({block}, (block + 1) * {block} - (at + skip)) as int))").alias("ids"))
     whole = cut.groupBy("source", "block").agg(F.array_sort(F.collect_list(F.struct("at", "doc_id", "ids"))).alias("p"))
     return whole.select("source", "block", F.expr("aggregate(p, 0, (s, x) -> s + size(x.ids))").alias("n_tokens"), F.expr("transform(p, x -> x.doc_id)").alias("doc_ids"), F.flatten(F.transform("p", lambda x: x["ids"])).alias("input_ids"))
 
 
 def prepare(docs: DataFrame, targets: DataFrame, total_tokens: int | None, block: int, path: str) -> tuple[DataFrame, list[Source]]:
-    buckets = max(4, -(-docs.count() // BUCKET_DOCS))
-    tokens = stage(docs.sparkSession, tokenized(docs, targets, buckets, path), "mix-tokens")  # encoded once, read for the totals and the blocks
+    tokens = stage(docs.sparkSession, tokenized(docs, targets, path), "mix-tokens")  # encoded once, read for the totals and the blocks
     return tokens, plan(tokens, targets, total_tokens, block)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CAPACITY = 2048
-BUCKET_ITEMS = 100_000  # items packed by one task
+BUCKET_ITEMS = 10_000  # items packed by one task, on average
 
 PLAN_SCHEMA = "item_id bigint, piece int, size int, block_id bigint, at int"
 
@@ -53,10 +53,11 @@ def plan(items: DataFrame, capacity: int = CAPACITY, bucket_items: int = BUCKET_
     """item_id, piece, size, block_id, at: where each piece of each item (item_id, n_tokens) goes; at counts tokens from 0.
 
     Items without tokens, null sizes and null ids are in no block; an item_id that occurs twice counts once. An item above capacity, and only such,
-    is cut: into full blocks of its own and a rest (piece 0, 1, ...) that is packed as an item.
+    is cut: into full blocks of its own and a rest (piece 0, 1, ...) that is packed as an item. The number of buckets follows from
+    the number of items, as part of the plan: nothing runs before the result is asked for.
     """
     once = items.where(F.col("item_id").isNotNull() & (F.col("n_tokens") > 0)).groupBy("item_id").agg(F.max("n_tokens").cast("int").alias("n_tokens"))
-    buckets = max(1, -(-items.count() // bucket_items))
+    buckets = items.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / bucket_items)).alias("_buckets"))  # one row
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_order", "item_id"])  # an order that doesn't depend on how the rows came
@@ -68,10 +69,10 @@ def plan(items: DataFrame, capacity: int = CAPACITY, bucket_items: int = BUCKET_
         piece = np.arange(len(whole)) - np.repeat(np.cumsum(full) - full, full)
         first = int(block.max()) + 1 if len(block) else 0
         out = pd.DataFrame({"item_id": np.concatenate([ids[some], whole]), "piece": np.concatenate([full[some], piece]).astype(np.int32), "size": np.concatenate([rest[some], np.full(len(whole), capacity)]).astype(np.int32), "block_id": np.concatenate([block, first + np.arange(len(whole))]), "at": np.concatenate([at, np.zeros(len(whole), np.int32)])})
-        out["block_id"] = out["block_id"] * buckets + int(pdf["_bucket"].iloc[0])
+        out["block_id"] = out["block_id"] * int(pdf["_buckets"].iloc[0]) + int(pdf["_bucket"].iloc[0])
         return out
 
-    keyed = once.withColumn("_order", F.xxhash64("item_id")).withColumn("_bucket", F.pmod(F.col("_order"), F.lit(buckets)))
+    keyed = once.withColumn("_order", F.xxhash64("item_id")).crossJoin(F.broadcast(buckets)).withColumn("_bucket", F.pmod(F.col("_order"), F.col("_buckets")))
     return keyed.groupBy("_bucket").applyInPandas(pack, PLAN_SCHEMA)
 
 

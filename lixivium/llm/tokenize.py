@@ -1,15 +1,17 @@
 """Encoding of a whole corpus with a public byte-level BPE vocabulary, long texts in overlapping chunks.
 
-A text of any length is cut into chunks that overlap; each chunk is pre-tokenised where it lies. Two neighbouring chunks
+A text longer than a chunk is cut into chunks that overlap, which threads pre-tokenise in parallel. Two neighbouring chunks
 are stitched at the first pre-token boundary after the nominal cut on which both agree, and the pieces between the
 stitches are encoded on their own: merges never cross a pre-token, so the pieces' ids joined are the text's ids. Where two
 chunks don't resynchronise inside their overlap (a single pre-token longer than it) the text is encoded in one piece.
+Every text is encoded in the task that reads it: the table is scanned once and no text, chunk or id is shuffled.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
 from pathlib import Path
 
@@ -24,6 +26,7 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 CHUNK, OVERLAP = 16_384, 2_048  # characters
+THREADS = 4  # that share the chunks of one long text
 STEP = 512  # texts whose ids a Python worker holds at once
 
 
@@ -49,7 +52,7 @@ def splitter():
 
 def _starts(text: str, frm: int) -> Iterator[int]:
     """Where the pre-tokens of text[frm:] begin, and the end of the text."""
-    for m in splitter().finditer(text, frm):
+    for m in splitter().finditer(text, frm, concurrent=True):  # without the interpreter's lock
         yield m.start()
     yield len(text)
 
@@ -76,51 +79,53 @@ def piece(text: str, first: bool, last: bool, chunk: int, overlap: int) -> tuple
     return text[begin:end], end == restarted and end < margin
 
 
-def encode(df: DataFrame, *keep: str, id_col: str = "doc_id", text_col: str = "text", path: str = TOKENIZER, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """df's columns keep, id_col and ids, the text's token ids without special tokens.
+def cut(text: str, chunk: int, overlap: int, pool: ThreadPoolExecutor) -> list[str]:
+    """The pieces of a text that are encoded on their own; joined they are the text."""
+    if len(text) <= chunk + overlap:
+        return [text]
+    last = (len(text) - overlap - 1) // chunk
 
-    Null and empty texts give an empty list. The strings of special tokens are ordinary text. id_col names a text: rows
-    that share an id share the text. Texts of up to one chunk, and those without an id, are encoded where they lie; only chunks
-    of longer ones move.
+    def one(n: int) -> tuple[str, bool]:
+        frm = n * chunk - overlap if n else 0
+        return piece(text[frm : len(text) if n == last else (n + 1) * chunk + 2 * overlap], n == 0, n == last, chunk, overlap)
+
+    found = list(pool.map(one, range(last + 1)))
+    return [t for t, _ in found] if all(ok for _, ok in found) else [text]
+
+
+def encoded_texts(texts: list[str | None], path: str, chunk: int, overlap: int, pool: ThreadPoolExecutor) -> list[np.ndarray]:
+    """The ids of each text."""
+    pieces = [cut(t or "", chunk, overlap, pool) for t in texts]
+    several = any(len(p) > 1 for p in pieces)
+    ids = encoding(path).encode_ordinary_batch([t for p in pieces for t in p], num_threads=THREADS if several else 1)
+    if not several:
+        return [np.array(i, np.int32) for i in ids]
+    ends = np.cumsum([len(p) for p in pieces]).tolist()
+    return [np.concatenate([np.array(i, np.int32) for i in ids[a:b]]) for a, b in zip([0, *ends], ends, strict=False)]
+
+
+Finish = Callable[[pd.DataFrame], pd.DataFrame]
+
+
+def encode(df: DataFrame, *keep: str, id_col: str = "doc_id", text_col: str = "text", path: str = TOKENIZER, chunk: int = CHUNK, overlap: int = OVERLAP, finish: Callable[[], Finish] | None = None, adds: str = "") -> DataFrame:
+    """df's columns keep, id_col and ids, the text's token ids without special tokens; one row a row of df, whatever its id.
+
+    Null and empty texts give an empty list. The strings of special tokens are ordinary text. finish makes, once a task, a
+    function that may drop rows and add the columns named with their types in adds.
     """
     key = df.schema[id_col].dataType.simpleString()
     kept = "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
 
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoding(path)
-        for batch in batches:
-            for at in range(0, len(batch), STEP):
-                some = batch.iloc[at : at + STEP].copy()
-                some["ids"] = [np.array(ids, np.int32) for ids in enc.encode_ordinary_batch([t or "" for t in some.pop("_text")], num_threads=1)]
-                yield some
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = finish() if finish else None
+        with ThreadPoolExecutor(THREADS) as pool:
+            for batch in batches:
+                for at in range(0, len(batch), STEP):
+                    some = batch.iloc[at : at + STEP].copy()
+                    some["ids"] = encoded_texts(some.pop("_text").tolist(), path, chunk, overlap, pool)
+                    yield last(some) if last else some
 
-    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoding(path)
-        for batch in batches:
-            cut = [piece(t, n == 0, n == last, chunk, overlap) for t, n, last in zip(batch["_text"], batch["_n"], batch["_last"], strict=True)]
-            batch["ids"] = enc.encode_ordinary_batch([t for t, _ in cut], num_threads=1)
-            batch["_agrees"] = [ok for _, ok in cut]
-            yield batch.drop(columns=["_text", "_last"])
-
-    text = F.col(text_col)
-    is_long = F.coalesce(F.length(text) > chunk + overlap, F.lit(False)) & F.col(id_col).isNotNull()  # chunks are joined by id
-    plain = df.where(~is_long).select(id_col, *keep, text.alias("_text")).mapInPandas(whole, f"`{id_col}` {key}{kept}, ids array<int>")
-    last = F.floor((F.length(text) - F.lit(overlap + 1)) / F.lit(chunk)).cast("int")
-    long = df.where(is_long).dropDuplicates([id_col])
-    chunks = (
-        long.select(id_col, text.alias("_whole"), last.alias("_last"), F.explode(F.sequence(F.lit(0), last)).alias("_n"))
-        .withColumn("_from", F.when(F.col("_n") == 0, F.lit(0)).otherwise(F.col("_n") * chunk - overlap))
-        .withColumn("_to", F.when(F.col("_n") == F.col("_last"), F.length("_whole")).otherwise((F.col("_n") + 1) * chunk + 2 * overlap))
-        .select(id_col, "_n", "_last", F.expr("substring(_whole, _from + 1, _to - _from)").alias("_text"))
-        .repartition(F.col(id_col), F.col("_n"))  # the chunks of one text go to many tasks
-        .mapInPandas(parts, f"`{id_col}` {key}, _n int, ids array<int>, _agrees boolean")
-    )
-    joined = chunks.groupBy(id_col).agg(F.bool_and("_agrees").alias("_agrees"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_n", "ids"))), lambda s: s["ids"])).alias("ids"))
-    odd = joined.where(~F.col("_agrees")).select(id_col)
-    rest = df.where(is_long).select(id_col, *keep, text.alias("_text"))
-    exact = rest.join(odd, id_col, "left_semi").mapInPandas(whole, f"`{id_col}` {key}{kept}, ids array<int>")
-    stitched = rest.drop("_text").join(joined.where("_agrees").drop("_agrees"), id_col).select(id_col, *keep, "ids")
-    return plain.unionByName(stitched).unionByName(exact)
+    return df.select(id_col, *keep, F.col(text_col).alias("_text")).mapInPandas(run, f"`{id_col}` {key}{kept}, ids array<int>{', ' + adds if adds else ''}")
 
 
 def decode(df: DataFrame, id_col: str = "doc_id", path: str = TOKENIZER) -> DataFrame:

@@ -342,12 +342,44 @@ def test_shares_and_repeats(spark):
 
 def test_blocks_hold_each_source_in_full(spark):
     docs, targets = mixed(spark)
-    tokens = mix.tokenized(docs, targets, 4)
+    tokens = mix.stage(spark, mix.tokenized(docs, targets), "test-tokens")
     whole = tokens.groupBy("source").agg(F.sum("n").alias("n"))
     cut = mix.blocks(tokens, 64).groupBy("source").agg(F.sum("n_tokens").alias("n"))
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, cut.collect()))
 
 
+def test_shards_are_drawn_at_random_and_add_up():
+    rng = np.random.default_rng(5)
+    left = np.array([5000, 300, 0, 41])
+    seen = []
+    while left.sum():
+        got = mix.draw(left, 64, rng)
+        assert got.sum() == min(64, left.sum())
+        assert (got <= left).all()
+        seen.append(got)
+        left = left - got
+    assert np.sum(seen, axis=0).tolist() == [5000, 300, 0, 41]
+    assert len({tuple(x) for x in map(tuple, seen)}) > 5
+
+
+def test_slots_use_every_block_as_planned(spark, monkeypatch):
+    monkeypatch.setattr(mix, "SHARD", 8)
+    monkeypatch.setattr(mix, "GROUPS", 4)
+    sources = [mix.Source("a", 0.6, 1, 0, 100, 90), mix.Source("b", 0.3, 3, 0, 20, 50), mix.Source("c", 0.1, 2, 0, 0, 0)]
+    rows = mix.slots(spark, sources).collect()
+    assert len(rows) == 140
+    assert len({(r["shard"], r["slot"]) for r in rows}) == 140
+    uses = {}
+    for r in rows:
+        uses.setdefault((r["source"], r["repeat"]), []).append(r["block"])
+    assert sorted(map(len, uses.values())) == [10, 20, 20, 90]
+    assert all(len(set(b)) == len(b) for b in uses.values())
+    sizes = {}
+    for r in rows:
+        sizes[r["shard"]] = sizes.get(r["shard"], 0) + 1
+    assert max(sizes.values()) == 8
+
+
 def test_mix_of_nothing(spark):
     docs, targets = mixed(spark)
     assert mix.mix(docs.limit(0), targets).count() == 0
