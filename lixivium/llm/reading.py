@@ -4,11 +4,13 @@ A word's grade is estimated from how it is spread over texts of known level: lab
 levels with sentences that show none, so each sentence's level is a latent one, inferred by expectation maximisation from
 the labels and its words. A word is known if it tells levels from none; its grade is the mean of its distribution. A
 sentence's level is read from a calibrated table of the quantiles of its known words' grades, a document's is the one at
-which most of its sentences that show a level are written.
+which most of its sentences that show a level are written; where none does, it is read from a calibrated table of the
+median grade of all its known words. English is told from other languages by a model of character trigrams.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -19,18 +21,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# The levels in order, and common function words of the languages that occur.
+# The levels in order.
 LEVELS = ["elementary", "secondary", "undergraduate", "specialist"]
-FUNCTION_WORDS = {
-    "en": "the of and is in it to with by was on that from be for this as at if which are were has its an or not you will when do can",
-    "de": "der die das und ist ein eine wird nicht mit für bei auf den dem zur aus nach sich wurde werden von im zu",
-    "fr": "le la les des une est et dans pour sur avec du au aux par été cette ce sont ne pas ensuite",
-    "es": "el los las una y en para con por del al fue esta muestra como más que de se",
-}
-_LANGUAGE = {w: [lang for lang, ws in FUNCTION_WORDS.items() if w in ws.split()] for ws in FUNCTION_WORDS.values() for w in ws.split()}
 
 SAMPLE_DOCS = 4000  # labelled documents that the word grades are estimated from: a documented bound, drawn by hash
-LEAST_DOCS = 3  # documents of the sample that a word must occur in
+OTHER_DOCS = 1000  # documents marked as of another language that the trigrams of others are counted in: likewise
+SAMPLE_CHARS = 20_000  # longer texts are graded like all, but not used to fit, so that the sample is bounded
+MARGIN = 0.75  # by how much the mean log likelihood of a trigram may lie below that of held-out English texts
 STEPS, NONE, KNOWN, BINS = 12, 4, 0.5, 12
 QUANTILES = (0.3, 0.5, 0.8)
 SHORT, RUN_ON, WINDOW = 6, 60, 15  # words: shorter sentences count less; longer ones are run together, and are read in windows
@@ -52,10 +49,69 @@ def sentences(text: str) -> list[list[str]]:
     return out
 
 
-def is_english(parts: list[list[str]]) -> bool:
-    """English function words occur, and at least as often as those of any other language."""
-    hits = Counter(lang for words in parts for w in words for lang in _LANGUAGE.get(w, ()))
-    return hits["en"] > 0 and hits["en"] == max(hits.values())
+class Trigrams:
+    """Log likelihoods of the letters of words under the trigrams counted in some texts, blanks around words included."""
+
+    PSEUDO, KINDS = 0.5, 20_000
+
+    def __init__(self, words: Counter) -> None:
+        seen: Counter = Counter()
+        for w, n in words.items():
+            for g in self.of(w):
+                seen[g] += n
+        total = sum(seen.values()) + self.PSEUDO * self.KINDS
+        self.log = {g: math.log((n + self.PSEUDO) / total) for g, n in seen.items()}
+        self.unseen = math.log(self.PSEUDO / total)
+        self.known: dict[str, float] = {}
+
+    @staticmethod
+    def of(word: str) -> list[str]:
+        padded = f" {word} "
+        return [padded[i : i + 3] for i in range(len(word))]
+
+    def mean(self, parts: list[list[str]]) -> float:
+        """The mean log likelihood of a trigram of these sentences; they hold at least one word."""
+        total, n = 0.0, 0
+        for words in parts:
+            for w in words:
+                v = self.known.get(w)
+                if v is None:
+                    if len(self.known) > 200_000:  # only a cache
+                        self.known.clear()
+                    v = self.known[w] = sum(self.log.get(g, self.unseen) for g in self.of(w))
+                total += v
+                n += len(w)
+        return total / n
+
+
+def _counted(docs: list[list[list[str]]]) -> Counter:
+    return Counter(w for parts in docs for words in parts for w in words)
+
+
+@dataclass
+class Language:
+    english: Trigrams
+    other: Trigrams | None
+    least: float
+
+    def holds(self, parts: list[list[str]]) -> bool:
+        """Whether sentences are English: as likely as English texts are, and likelier than under the trigrams of others."""
+        own = self.english.mean(parts)
+        return own >= self.least and (self.other is None or own >= self.other.mean(parts))
+
+
+def fit_language(english: list[list[list[str]]], other: list[list[list[str]]]) -> Language | None:
+    """From the sentences of English documents and of some that are marked as of other languages, a few of them wrongly."""
+    docs = [d for d in english if d]
+    if not docs:
+        return None
+    halves = [Trigrams(_counted(docs[i::2])) for i in (0, 1)]
+    held = sorted([halves[1].mean(d) for d in docs[0::2]] + [halves[0].mean(d) for d in docs[1::2]]) if len(docs) > 1 else [halves[0].mean(docs[0])]
+    model = Language(Trigrams(_counted(docs)), None, held[len(held) // 100] - MARGIN)
+    foreign = [d for d in other if d and not model.holds(d)]
+    if foreign:
+        model.other = Trigrams(_counted(foreign))
+    return model
 
 
 @dataclass
@@ -64,6 +120,8 @@ class Model:
     vocabulary: frozenset[str]
     table: dict[tuple, int]  # share of known words and quantiles of their grades to level, or NONE
     coarse: dict[tuple, int]
+    by_median: list[int] | None = None  # level of a document by the median grade of its known words
+    language: Language | None = None
 
     def features(self, words: list[str]) -> tuple | None:
         seen = [w for w in dict.fromkeys(words) if w in self.vocabulary]
@@ -80,29 +138,32 @@ class Model:
         level = self.table.get(key)
         return self.coarse.get((key[0], key[2]), NONE) if level is None else level
 
+    def median(self, parts: list[list[str]]) -> int | None:
+        """The median grade of all known words."""
+        grades = sorted(self.grade[w] for words in parts for w in words if w in self.grade)
+        return grades[len(grades) // 2] if grades else None
+
     def document_level(self, text: str | None) -> str | None:
         """None for texts without English sentences, and for those of which no word has a grade."""
         parts = sentences(text) if text else []
-        if not parts or not is_english(parts):
+        if not parts or self.language is None or not self.language.holds(parts):
             return None
         votes = [0.0] * len(LEVELS)
         for words in parts:
             level = self.sentence_level(words)
             if level != NONE:
                 votes[level] += min(1.0, len(words) / SHORT)
-        if not any(votes):  # no sentence shows a level clearly: the median grade of all known words tells it
-            grades = sorted(self.grade[w] for words in parts for w in words if w in self.grade)
-            return LEVELS[round(grades[len(grades) // 2] * (len(LEVELS) - 1) / BINS)] if grades else None
+        if not any(votes):  # no sentence shows a level clearly
+            median = self.median(parts)
+            return None if median is None or self.by_median is None else LEVELS[self.by_median[median]]
         return LEVELS[votes.index(max(votes))]
 
 
-def fit(texts: list[str], grades: list[float]) -> Model:
-    """The model from labelled texts; grades count from 0, those of several raters averaged."""
+def fit(texts: list[str], grades: list[float], others: list[str] | None = None) -> Model:
+    """The model from labelled texts; grades count from 0, those of several raters averaged. others: texts of other languages."""
     k = len(LEVELS)
     docs = [sentences(t) for t in texts]
-    often = Counter(w for parts in docs for w in {w for words in parts for w in words})
-    least = LEAST_DOCS if len(docs) >= 200 else 1
-    words = sorted(w for w, c in often.items() if c >= least)
+    words = sorted({w for parts in docs for words in parts for w in words})
     place = {w: i for i, w in enumerate(words)}
     rows = [(d, s, ids) for d, parts in enumerate(docs) for s in parts if (ids := [place[w] for w in dict.fromkeys(s) if w in place])]
     if not rows:
@@ -138,17 +199,37 @@ def fit(texts: list[str], grades: list[float]) -> Model:
             coarse[key[0], key[2]] = coarse.get((key[0], key[2]), 0) + p
     model.table = {c: int(p.argmax()) for c, p in fine.items()}
     model.coarse = {c: int(p.argmax()) for c, p in coarse.items()}
+    model.by_median = calibrated([model.median(parts) for parts in docs], grades)
+    model.language = fit_language(docs, [sentences(t) for t in others or []])
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Fits word grades on at most sample_docs labelled documents, drawn by hash: the driver holds no more than these."""
+def calibrated(medians: list[int | None], grades: list[float]) -> list[int]:
+    """The level of each median grade: the mean label of the documents that have it or a neighbouring one, weighted by distance."""
+    bins = np.arange(BINS + 1)
+    known = [(m, g) for m, g in zip(medians, grades, strict=True) if m is not None]
+    m, g = np.array([x for x, _ in known], float), np.array([x for _, x in known], float)
+    if not known:
+        return [round(b * (len(LEVELS) - 1) / BINS) for b in bins]
+    weight = np.exp(-np.abs(bins[:, None] - m[None, :]) * 2.0)
+    return [int(x) for x in np.clip(np.rint((weight * g).sum(1) / weight.sum(1)), 0, len(LEVELS) - 1)]
+
+
+def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, other_docs: int = OTHER_DOCS) -> Model:
+    """Fits word grades and trigrams on at most sample_docs labelled documents and other_docs whose lang, if docs has one, isn't
+    English, all of at most SAMPLE_CHARS characters and drawn by hash: the driver holds no more than these."""
     grade = F.array_position(F.array(*[F.lit(x) for x in LEVELS]), F.lower(F.trim("reading_level"))) - 1
     rated = labels.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "rater", "reading_level"]).withColumn("g", grade).where(F.col("g") >= 0).groupBy("doc_id").agg(F.avg("g").alias("g"))
     drawn = F.broadcast(rated.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample_docs))
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(drawn, "doc_id").select("doc_id", "text", "g").collect()
+    short = docs.where(F.length("text") <= SAMPLE_CHARS)
+    rows = short.select("doc_id", "text").join(drawn, "doc_id").select("doc_id", "text", "g").collect()
     rows = sorted({r["doc_id"]: r for r in rows}.values(), key=lambda r: r["doc_id"])
-    return fit([r["text"] for r in rows], [r["g"] for r in rows])
+    others = []
+    if "lang" in docs.columns:
+        lang = F.lower(F.trim("lang"))
+        foreign = short.where(F.col("doc_id").isNotNull() & (lang != "") & ~lang.startswith("en")).select("doc_id", "text")
+        others = sorted((r["doc_id"], r["text"]) for r in foreign.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(other_docs).collect())
+    return fit([r["text"] for r in rows], [r["g"] for r in rows], [t for _, t in others])
 
 
 def levels(docs: DataFrame, model: Model) -> DataFrame:

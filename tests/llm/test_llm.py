@@ -415,6 +415,25 @@ def test_texts_without_english_sentences_have_no_level(spark):
     assert {r["doc_id"]: r["reading_level"] for r in reading.levels(df, model).collect()} == {90: "elementary", 91: "specialist"}
 
 
+def test_languages_left_out_are_not_taken_for_english():
+    import pandas as pd
+
+    docs = pd.read_parquet("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text", "lang"])
+    docs = docs[docs.text.notna()]
+    labelled = set(pd.read_parquet("/root/testdata/sf0.1/reading_labels.parquet").doc_id)
+    english = [reading.sentences(t) for t in docs[docs.doc_id.isin(labelled)].text[:300]]
+    lang = docs.lang.fillna("").str.strip().str.lower().str[:2]
+    words = {"de": "der die und nicht", "fr": "le les est une", "es": "el los una para"}
+    for left_out, common in words.items():
+        model = reading.fit_language(english, [reading.sentences(t) for t in docs[lang.isin(set(words) - {left_out})].text[:200]])
+        own = [p for t in docs[lang == left_out].text[:300] if (p := reading.sentences(t)) and {w for x in p for w in x} & set(common.split()) and not {w for x in p for w in x} & {"the", "of", "is"}]
+        assert len(own) > 20
+        assert not any(model.holds(p) for p in own)
+    for t in ("La polvere si scioglie lentamente in acqua fredda.", "O pó dissolve-se lentamente em água fria.", "Het poeder lost langzaam op in koud water.", "Proszek rozpuszcza się powoli w zimnej wodzie."):
+        assert not model.holds(reading.sentences(t))
+    assert model.holds(reading.sentences("The powder dissolves slowly in cold water."))
+
+
 def test_a_model_of_nothing_gives_no_level(spark):
     docs = spark.createDataFrame([(1, "It is the test.")], "doc_id bigint, text string")
     labels = spark.createDataFrame([], "doc_id bigint, rater string, reading_level string")
