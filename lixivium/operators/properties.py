@@ -2,7 +2,8 @@
 
 Names are normalised by a broadcast alias table, values are typed and pre-aggregated to one per (entity, attribute) where
 they lie, so a much studied entity shrinks to at most one row per attribute before it moves. Entities are then
-hash-bucketed; each Arrow batch of a bucket is dictionary-encoded and scattered into one numpy array per typed column.
+hash-bucketed; the cells of a bucket, an Arrow table, are dictionary-encoded by entity and by attribute, their values are
+scattered by row and column number into one numpy array per type, and the bucket's wide rows go out as an Arrow table.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ ALIASES = {
 # Texts that stand for a missing value, in lower case without a full stop at the end.
 PLACEHOLDERS = ["", "-", "--", "?", "n/a", "na", "none", "null", "nan", "nil", "tbd", "unknown", "not available", "not determined", "not reported", "n.d", "nd", "no data", "unspecified"]
 
+BUCKET_CELLS = 50_000  # cells of a bucket, on average; a cell is one value of one entity
+
 VALUE_TYPES = {"number": T.DoubleType(), "integer": T.LongType(), "text": T.StringType()}
 
 
@@ -82,15 +85,26 @@ def first_number(text: Column) -> Column:
     return parse_number(F.regexp_extract(own, rf"(?<![A-Za-z\d.,/^])({NUMBER})", 1))
 
 
+def first_integer(text: Column) -> Column:
+    """The same as a whole number: as written where it is one within 64 bits, else the nearest to it; null beyond 64 bits."""
+    own = F.regexp_replace(F.regexp_replace(clean(text), r"(?i)^\s*flash(?:es)? at\b", ""), CONDITION, " ")
+    own = F.regexp_replace(own, r"^\[[^\]]*\]", " ")
+    found = F.regexp_extract(own, rf"(?<![A-Za-z\d.,/^])({NUMBER})", 1)
+    whole = F.regexp_replace(found, r",(?=\d{3}(?!\d))", "")
+    rounded = F.rint(parse_number(found))
+    return F.coalesce(F.when(whole.rlike(r"^[+-]?\d+$"), whole.try_cast("bigint")), F.when(~whole.rlike(r"^[+-]?\d+$") & (F.abs(rounded) < 2.0**63), rounded.cast("bigint")))
+
+
 def cells(df: DataFrame, catalog: DataFrame) -> DataFrame:
-    """CID, property_key, value_type, number, text: one row per cell; of several rows that of the lowest prop_id counts."""
+    """CID, property_key, value_type, number, integer, text: one row per cell; of several rows that of the lowest prop_id counts."""
     types = F.broadcast(catalog.select(F.col("property_key").alias("_key"), "value_type"))  # one short row per property
     keyed = with_property_key(df.select("prop_id", "CID", "PROPERTY_NAME", "PROPERTY_VALUE").where(F.col("CID").isNotNull() & is_value(F.col("PROPERTY_VALUE"))))
-    typed = computed_once(keyed.join(types, F.col("property_key") == F.col("_key")), "prop_id", "CID", "property_key", "value_type", "PROPERTY_VALUE", number=F.when(F.col("value_type") != "text", first_number(F.col("PROPERTY_VALUE"))))
-    fits = finite(F.col("number")) & ((F.col("value_type") != "integer") | (F.abs("number") < 2.0**62))
-    typed = typed.where((F.col("value_type") == "text") | fits)
-    best = F.min(F.struct("prop_id", "number", F.trim("PROPERTY_VALUE").alias("text")))
-    return typed.groupBy("CID", "property_key", "value_type").agg(best.alias("b")).select("CID", "property_key", "value_type", "b.number", "b.text")
+    is_a = lambda t: F.col("value_type") == t
+    value = F.col("PROPERTY_VALUE")
+    typed = computed_once(keyed.join(types, F.col("property_key") == F.col("_key")), "prop_id", "CID", "property_key", "value_type", number=F.when(is_a("number"), first_number(value)), integer=F.when(is_a("integer"), first_integer(value)), text=F.when(is_a("text"), F.trim(value)))
+    typed = typed.where(finite(F.col("number")) | F.col("integer").isNotNull() | F.col("text").isNotNull())
+    best = F.min(F.struct("prop_id", "number", "integer", "text"))
+    return typed.groupBy("CID", "property_key", "value_type").agg(best.alias("b")).select("CID", "property_key", "value_type", "b.number", "b.integer", "b.text")
 
 
 def wide_schema(catalog_rows: list[tuple[str, str]]) -> T.StructType:
@@ -106,38 +120,39 @@ def widen(df: DataFrame, catalog: DataFrame) -> DataFrame:
     rows = [(r["property_key"], r["value_type"]) for r in catalog.select("property_key", "value_type").dropDuplicates(["property_key"]).orderBy("property_key").collect()]  # the catalog names the columns
     schema, column = wide_schema(rows), {k: i for i, (k, _) in enumerate(rows)}
     kinds = [t for _, t in rows]
+    place = {i: sum(t == kinds[i] for t in kinds[:i]) for i in range(len(kinds))}  # the column's number among those of its type
 
-    def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scatter(bucket: pa.Table) -> pa.Table:
         import numpy as np
 
-        for batch in batches:
-            n = batch.num_rows
-            lists = batch.column("cells")
-            entity = np.repeat(np.arange(n), np.asarray(lists.value_lengths().fill_null(0)))  # row index of each cell
-            flat = lists.flatten()
-            encoded = flat.field("property_key").dictionary_encode()
-            code = np.array([column[k] for k in encoded.dictionary.to_pylist()], dtype=np.int64)[np.asarray(encoded.indices)] if len(encoded) else np.empty(0, np.int64)
-            number = flat.field("number").to_numpy(zero_copy_only=False)
-            text = flat.field("text")
-            out = [batch.column("CID")]
-            for c, kind in enumerate(kinds):
-                at = np.flatnonzero(code == c)
-                there = np.zeros(n, bool)
-                there[entity[at]] = True
-                if kind == "text":
-                    place = np.full(n, -1)
-                    place[entity[at]] = at
-                    out.append(text.take(pa.array(place, mask=~there)))
-                else:
-                    values = np.zeros(n)
-                    values[entity[at]] = number[at]
-                    if kind == "integer":
-                        values = np.rint(values).astype(np.int64)
-                    out.append(pa.array(values, mask=~there))
-            yield pa.RecordBatch.from_arrays(out, names=[f.name for f in schema])
-
-    per_entity = cells(df, catalog).groupBy("CID").agg(F.collect_list(F.struct("property_key", "number", "text")).alias("cells"))  # at most one element per property
-    return per_entity.mapInArrow(scatter, schema)
+        bucket = bucket.combine_chunks()
+        encode = lambda name: pa.chunked_array(bucket[name]).combine_chunks().dictionary_encode() if bucket.num_rows else pa.array([], pa.dictionary(pa.int32(), bucket.schema.field(name).type))
+        entity, attribute = encode("CID"), encode("property_key")
+        row = np.asarray(entity.indices)
+        code = np.array([column[k] for k in attribute.dictionary.to_pylist()], np.int64)[np.asarray(attribute.indices)]
+        n = len(entity.dictionary)
+        arrays = {}
+        for kind, name, empty in (("number", "number", np.float64), ("integer", "integer", np.int64), ("text", "text", np.int64)):
+            own = np.flatnonzero(np.array([k == kind for k in kinds])[code])
+            at = row[own], np.array([place[c] for c in range(len(kinds))], np.int64)[code[own]]
+            shape = (n, kinds.count(kind))
+            values, there = np.zeros(shape, empty), np.zeros(shape, bool)
+            # texts are scattered as their numbers in the bucket, whole numbers never pass through a double
+            values[at] = own if kind == "text" else bucket[name].take(pa.array(own)).to_numpy()
+            there[at] = True
+            arrays[kind] = values, there
+        text = bucket["text"].combine_chunks()
+        out = [entity.dictionary]
+        for c, kind in enumerate(kinds):
+            values, there = (x[:, place[c]] for x in arrays[kind])
+            out.append(text.take(pa.array(values, mask=~there)) if kind == "text" else pa.array(values, mask=~there))
+        return pa.Table.from_arrays(out, names=[f.name for f in schema])
+
+    each = cells(df, catalog)
+    # A cell is at most one row of df: the number of rows bounds the buckets, as part of the plan.
+    buckets = df.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / BUCKET_CELLS)).alias("_buckets"))
+    dealt = each.crossJoin(F.broadcast(buckets)).select(F.pmod(F.xxhash64("CID"), "_buckets").alias("_bucket"), "CID", "property_key", "number", "integer", "text")
+    return dealt.groupBy("_bucket").applyInArrow(scatter, schema)
 
 
 def filled_cells(wide: DataFrame) -> DataFrame:

@@ -138,6 +138,19 @@ def test_wide_table(spark):
     assert wide(spark, []) == {}
 
 
+def test_whole_numbers_stay_whole(spark):
+    rows = [(1, 1, "Kovats RI", "9007199254740993"), (2, 2, "Kovats RI", "9,223,372,036,854,775,807"), (3, 3, "Kovats RI", "9223372036854775808"), (4, 4, "Kovats RI", "1e3"), (5, 5, "Kovats RI", "1700.6"), (6, 6, "Kovats RI", "-4611686018427387905"), (7, 7, "Kovats RI", "1e30")]
+    assert {k: v[1] for k, v in wide(spark, rows).items()} == {1: 9007199254740993, 2: 9223372036854775807, 4: 1000, 5: 1701, 6: -4611686018427387905}
+
+
+def test_buckets_do_not_change_the_rows(spark, monkeypatch):
+    rows = [(i, i % 40, ["MP", "Kovats RI", "Odor"][i % 3], f"{i} °C") for i in range(400)]
+    whole = wide(spark, rows)
+    monkeypatch.setattr(properties, "BUCKET_CELLS", 25)
+    assert wide(spark, rows) == whole
+    assert len(whole) == 40
+
+
 def test_one_entity_may_hold_most_rows(spark):
     rows = [(i, 1 if i % 3 else i, "Melting Point", f"{i} °C") for i in range(1, 3000)]
     got = wide(spark, rows)
