@@ -24,3 +24,8 @@ def sample_array(arr: Column, k: int, seed: str, key: Column) -> Column:
     """k elements of an array without replacement, in md5 order of (seed, key, position)."""
     ranked = F.transform(arr, lambda x, i: F.struct(order_key(seed, key, i).alias("k"), i.alias("i"), x.alias("x")))
     return F.transform(F.slice(F.array_sort(ranked), 1, k), lambda s: s["x"])
+
+
+def whole(seed: str, low: int, high: int, *cols: Column) -> Column:
+    """A whole number from low to high, both included."""
+    return (F.lit(low) + F.floor(uniform(seed, *cols) * (high - low + 1))).cast("int")

@@ -98,6 +98,13 @@ def legacy_text() -> Column:
     return F.concat_ws("", syn, rel, exp, *[part(f) for f in SCALARS if f not in DECIMAL | {"SMILES"}])
 
 
+def legacy_assay_text(a: Column) -> Column:
+    """An assay in the older grammar: its name, its description, then its variables, each bracketed whole; nulls are empty."""
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    one = lambda v: F.concat(F.lit("[VAR "), text(v["name"]), F.lit(" DESC "), text(v["description"]), F.lit(" VAL "), text(v["value"]), F.lit("]"))
+    return F.concat(F.lit("[ASSNAME "), text(a["name"]), F.lit("][ASSDESC "), text(a["description"]), F.lit("]"), F.coalesce(F.array_join(F.transform(a["variables"], one), ""), F.lit("")))
+
+
 def last_between(text: Column, start: str, end: str) -> Column:
     """What lies between the last start and the last end tag; null where either is missing, empty where they are the wrong way round."""
     has = text.contains(start) & text.contains(end)

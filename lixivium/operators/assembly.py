@@ -21,6 +21,9 @@ from lixivium.operators.blocks import micro_batches
 
 Tokens = list[str]
 
+# Fields that are lists of structs, the tag of an element and what stands in it.
+LISTED = {"synonyms": ("SYNONYM", ["name"]), "related": ("SIMILAR", ["SMILES", "similarity"]), "experimental": ("PROPERTY", ["PROPERTY_NAME", "PROPERTY_VALUE"])}
+
 
 def by_blanks(text: str) -> Tokens:
     return text.split()
@@ -169,6 +172,15 @@ def pack_short(docs: list[Document], context: int, strict: bool = False) -> list
     return out
 
 
+class Content(str):
+    """A token of an assay, told from those of molecules and computed fields, and from equal ones, when losses are counted."""
+
+
+def content(tokens: Tokens) -> set[int]:
+    """Which tokens of assays these are; one that is written in several documents is the same."""
+    return {id(t) for t in tokens if type(t) is Content}
+
+
 def compound_of(row: dict, tokenize: Callable[[str], Tokens], longest: int = 2500) -> Compound:
     """A record with its texts tokenised; assays above the limit are left out, nulls count as empty."""
     text = lambda v: "" if v is None else str(v)
@@ -184,7 +196,11 @@ def compound_of(row: dict, tokenize: Callable[[str], Tokens], longest: int = 250
         stack.append((tokenize(f"[ASSAY_NAME]{text(a['name'])}[/ASSAY_NAME]"), tokenize(f"[ASSAY_DESC]{text(a['description'])}[/ASSAY_DESC]"), variables))
     computed: dict[str, list[Tokens]] = {}
     for key, value in row.items():
-        if key in ("assays", "SMILES", "record_id", "batch_id") or value is None or value == "":
+        if key in ("assays", "SMILES", "record_id", "batch_id") or value is None or isinstance(value, str) and value == "":
+            continue
+        if key in LISTED:
+            tag, fields = LISTED[key]
+            computed[key] = [tokenize(f"[{tag}]{' '.join(text(x[f]) for f in fields)}[/{tag}]") for x in value if x is not None]
             continue
         computed[key] = [tokenize(f"[{key.upper()}]{value}[/{key.upper()}]")]
     return Compound(tokenize(f"[START_SMILES]{text(row.get('SMILES'))}[END_SMILES]"), stack, computed)
@@ -207,5 +223,47 @@ def assemble(records: DataFrame, context: int, batch: int = 30, tokenize: Callab
         rows = pd.DataFrame(out, columns=["batch_id", "record_id", "kind", "no", "n_tokens", "text"])
         return rows.astype({"record_id": "Int64"})
 
+    return in_batches(records, batch).groupBy("batch_id").applyInPandas(run, "batch_id bigint, record_id bigint, kind string, no int, n_tokens int, text string")
+
+
+def in_batches(records: DataFrame, batch: int) -> DataFrame:
+    """records with batch_id: only the ids are numbered, the records themselves move to their id and to their batch."""
     once = records.dropDuplicates(["record_id"]).where(F.col("record_id").isNotNull())
-    return micro_batches(once, "record_id", batch).groupBy("batch_id").applyInPandas(run, "batch_id bigint, record_id bigint, kind string, no int, n_tokens int, text string")
+    return once.join(micro_batches(once.select("record_id"), "record_id", batch), "record_id")
+
+
+LOSS_SCHEMA = "batch_id bigint, n_content bigint, in_full bigint, in_packed bigint, lost_no_room bigint, lost_cut bigint, lost_rest bigint"
+
+
+def losses(records: DataFrame, context: int, batch: int = 30, tokenize: Callable[[str], Tokens] = by_blanks, seed: str = "42", lose_overflow: bool = False) -> DataFrame:
+    """Per batch the tokens of assays within the limit, and what became of them: n_content is the sum of the other columns.
+
+    in_full, in_packed: written, however often, in a document of one compound or else in a packed one; lost_no_room: the molecule alone fills the context; lost_rest: packed documents that didn't reach
+    the context; lost_cut: ends of descriptions, heads and variables that no document had room for.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        start = tokenize(tags.SEPARATOR)
+        total = no_room = 0
+        kept: list[Compound] = []  # so that no token's identity is used again
+        written: set[int] = set()
+        short: list[Document] = []
+        for row in pdf.sort_values("record_id").to_dict("records"):
+            compound = compound_of(row, tokenize)
+            mark = lambda tokens: [Content(t) for t in tokens]
+            compound.assays = [(mark(n), mark(d), [mark(v) for v in vs]) for n, d, vs in compound.assays]
+            kept.append(Compound(compound.smiles, [(n, d, list(vs)) for n, d, vs in compound.assays], {}))
+            own = sum(len(n) + len(d) + sum(map(len, vs)) for n, d, vs in compound.assays)
+            total += own
+            if len(start) + len(compound.smiles) >= context:
+                no_room += own
+            full, rest = fill(compound, context, start, Chance(seed, row["record_id"]), lose_overflow)
+            for t in full:
+                written |= content(t)
+            short += rest
+        in_short = {i for d in short for s in d.sections for i in content(s.tokens())} - written
+        packed = {i for t in pack_short(short, context) for i in content(t)} - written
+        row = (int(pdf["batch_id"].iloc[0]), total, len(written), len(packed), no_room, total - len(written) - no_room - len(in_short), len(in_short - packed))
+        return pd.DataFrame([row], columns=[c.split()[0] for c in LOSS_SCHEMA.split(", ")])
+
+    return in_batches(records, batch).groupBy("batch_id").applyInPandas(run, LOSS_SCHEMA)

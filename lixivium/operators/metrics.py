@@ -14,28 +14,79 @@ def topn_means(log: DataFrame, max_calls: int, tops: tuple[int, ...] = (1, 10, 1
     return ranked.agg(*[F.round(F.avg(F.when(F.col("rn") <= n, F.col("score"))), 6).alias(f"top_{n}") for n in tops])
 
 
+SPAN = 512  # buckets that are folded together
+
+
+def running_tops(log: DataFrame, freq: int, tops: tuple[int, ...]) -> DataFrame:
+    """b, means: after each bucket of freq calls (call_idx from 1) the means of the so many best scores of all calls so far.
+
+    Each bucket is cut to its best scores, each span of buckets likewise; a span's buckets are then folded onto what the spans
+    before leave, so that no task holds more than a span's buckets, or one row a span.
+    """
+    most = max(tops)
+    best = Window.partitionBy("b").orderBy(F.col("score").desc())
+    few = log.where(F.col("score").isNotNull()).select(F.expr(f"(call_idx - 1) div {freq}").alias("b"), "score").withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= most)
+    buckets = few.groupBy("b").agg(F.collect_list("score").alias("s")).withColumn("span", F.expr(f"b div {SPAN}"))
+    keep = lambda a: F.slice(F.sort_array(a, asc=False), 1, most)
+    spans = buckets.groupBy("span").agg(F.array_sort(F.collect_list(F.struct("b", "s"))).alias("bs")).withColumn("top", keep(F.flatten(F.transform("bs", lambda x: x["s"]))))
+    ends = spans.select("span", "top")
+    wide = Window.orderBy("wide").rowsBetween(Window.unboundedPreceding, -1)  # one row a span of spans
+    inner = Window.partitionBy("wide").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    grouped = ends.withColumn("wide", F.expr(f"span div {SPAN}"))
+    before = grouped.groupBy("wide").agg(keep(F.flatten(F.collect_list("top"))).alias("t")).withColumn("outer", keep(F.flatten(F.collect_list("t").over(wide)))).drop("t")
+    starts = grouped.withColumn("inner", keep(F.flatten(F.collect_list("top").over(inner)))).join(before, "wide").select("span", keep(F.concat("inner", "outer")).alias("start"))
+    mean = lambda a, n: F.aggregate(F.slice(a, 1, n), F.lit(0.0), lambda t, x: t + x) / F.least(F.size(a), F.lit(n))
+    state = F.struct(F.col("start").alias("a"), F.array().cast("array<struct<b:bigint,means:array<double>>>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        a = keep(F.concat(s["a"], x["s"]))
+        return F.struct(a.alias("a"), F.concat(s["out"], F.array(F.struct(x["b"].cast("bigint").alias("b"), F.array(*[mean(a, n) for n in tops]).alias("means")))).alias("out"))
+
+    return spans.join(starts, "span").select(F.inline(F.aggregate("bs", state, step, lambda s: s["out"])))
+
+
 def top_auc(log: DataFrame, top_n: int, freq: int, max_calls: int, finish: bool) -> DataFrame:
     """One row, auc: trapezoids under the mean of the top_n best scores so far, at every freq-th call, by max_calls.
 
-    log has call_idx from 1. Each bucket of freq calls is cut to its own top_n first; what meets afterwards is top_n rows a
-    bucket. Calls beyond max_calls count in the tail, as does the rest of the budget when the search finished early.
+    log has call_idx from 1. Calls beyond max_calls count in the tail, as does the rest of the budget when the search finished early.
     """
-    bucket = F.expr(f"(call_idx - 1) div {freq}")
-    size = log.agg(F.count(F.lit(1)).alias("n"))
-    best = Window.partitionBy("b").orderBy(F.col("score").desc())
-    few = log.select(bucket.alias("b"), "score").withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= top_n).select("b", "score")
-    points = size.select("n", F.explode(F.when(F.least("n", F.lit(max_calls)) > freq, F.sequence(F.lit(freq).cast("bigint"), F.least("n", F.lit(max_calls)) - 1, F.lit(freq).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))).alias("c"))
-    points = points.unionByName(size.select("n", F.lit(None).cast("bigint").alias("c")))  # the tail over all calls
-    so_far = points.join(few, F.col("c").isNull() | ((F.col("b") + 1) * freq <= F.col("c")))
-    ranked = so_far.withColumn("rn", F.row_number().over(Window.partitionBy("c").orderBy(F.col("score").desc()))).where(F.col("rn") <= top_n)
-    means = ranked.groupBy("n", "c").agg(F.avg("score").alias("m"))
+    size = log.agg(F.count(F.lit(1)).alias("n"), F.expr(f"max((call_idx - 1) div {freq})").alias("last"))
+    means = running_tops(log, freq, (top_n,)).select("b", F.col("means")[0].alias("m")).join(F.broadcast(size))
+    checks = means.where((F.col("b") + 1) * freq < F.least("n", F.lit(max_calls))).select("n", ((F.col("b") + 1) * freq).alias("c"), "m")
+    points = checks.unionByName(means.where(F.col("b") == F.col("last")).select("n", F.lit(None).cast("bigint").alias("c"), "m"))  # the tail over all calls
     steps = Window.orderBy(F.col("c").asc_nulls_last())  # one row a checkpoint
-    area = means.withColumn("prev", F.coalesce(F.lag("m").over(steps), F.lit(0.0))).withColumn("called", F.coalesce(F.lag("c").over(steps), F.lit(0)))
+    area = points.withColumn("prev", F.coalesce(F.lag("m").over(steps), F.lit(0.0))).withColumn("called", F.coalesce(F.lag("c").over(steps), F.lit(0)))
     rest = F.when(F.lit(finish) & (F.col("n") < max_calls), (F.lit(max_calls) - F.col("n")) * F.col("m")).otherwise(0.0)
     part = F.when(F.col("c").isNull(), (F.col("n") - F.col("called")) * (F.col("m") + F.col("prev")) / 2 + rest).otherwise(F.lit(freq) * (F.col("m") + F.col("prev")) / 2)
     return area.agg(F.round(F.sum(part) / max_calls, 6).alias("auc"))
 
 
+def reports(log: DataFrame, every: int, tops: tuple[int, ...] = (1, 10, 100)) -> DataFrame:
+    """calls, top_1, top_10, ...: the means of the best scores after every so many calls (call_idx from 1), complete reports only."""
+    n = log.agg(F.count(F.lit(1)).alias("n"))
+    rows = running_tops(log, every, tops).join(F.broadcast(n)).where((F.col("b") + 1) * every <= F.col("n"))
+    return rows.select(((F.col("b") + 1) * every).alias("calls"), *[F.round(F.col("means")[i], 6).alias(f"top_{t}") for i, t in enumerate(tops)])
+
+
+#: Metrics by the name that settings give: aggregates over a truth and a guess.
+HOOKS = {
+    "n": lambda t, g: F.count_if(t.isNotNull() & g.isNotNull()),
+    "mae": lambda t, g: F.avg(F.abs(t - g)),
+    "rmse": lambda t, g: F.sqrt(F.avg((t - g) * (t - g))),
+    "bias": lambda t, g: F.avg(g - t),
+    "exact": lambda t, g: F.avg((t == g).cast("double")),
+}
+
+
+def hooked(df: DataFrame, truth: Column, guess: Column, names: list[str], *groups: str, preprocess=lambda c: c, hooks: dict | None = None) -> DataFrame:
+    """A column per named metric; preprocess shapes the guesses before any metric sees them. hooks adds metrics to those known."""
+    known = {**HOOKS, **(hooks or {})}
+    if missing := [n for n in names if n not in known]:
+        raise KeyError(f"no metric {missing[0]}; there are {', '.join(known)}")
+    rows = df.select(*groups, truth.alias("_t"), preprocess(guess).alias("_g"))
+    return rows.groupBy(*groups).agg(*[known[n](F.col("_t"), F.col("_g")).alias(n) for n in names])
+
+
 def regression(df: DataFrame, truth: Column, guess: Column, *groups: str) -> DataFrame:
     """n_valid, n_invalid, rmse, mae, pearson; rows without both numbers are counted as invalid and left out."""
     rows = df.select(*groups, truth.alias("t"), guess.alias("g"))

@@ -124,3 +124,32 @@ def prompt(similars: Column, smiles: Column, score: Column, key: Column, *, gene
     told = F.concat(F.lit("[PROPERTY]oracle_score "), two_decimals(wanted), F.lit("[/PROPERTY]")) if strategy == "rej-sample-v2" and with_score else F.lit("")
     end = F.lit("[START_SMILES]") if generation else F.concat(F.lit("[START_SMILES]"), smiles, F.lit("[END_SMILES]"), F.lit(eos))
     return F.concat(F.lit(eos), sims, told, end)
+
+
+#: An entry of a prompt as a struct: smiles, score, similars (SMILES, similarity), properties (start, value, end).
+def entry_text(entry: Column, *, strategy: str, with_score: bool, similars: Column | None = None, score: Column | None = None, smiles: Column | None = None) -> Column:
+    """An entry's similars, properties, score and molecule; each of the last three may be given instead of the entry's own."""
+    if strategy not in ("default", "rej-sample-v2"):
+        raise ValueError(f"unknown strategy {strategy}")
+    props = F.coalesce(F.array_join(F.transform(entry["properties"], lambda p: F.concat(p["start"], p["value"], p["end"])), ""), F.lit(""))
+    told = F.concat(F.lit("[PROPERTY]oracle_score "), two_decimals(entry["score"] if score is None else score), F.lit("[/PROPERTY]")) if strategy == "rej-sample-v2" and with_score else F.lit("")
+    molecule = F.concat(F.lit("[START_SMILES]"), entry["smiles"], F.lit("[END_SMILES]")) if smiles is None else smiles
+    return F.concat(similars_text(entry["similars"]) if similars is None else similars, props, told, molecule)
+
+
+def example_prompt(examples: Column, last: Column, key: Column, *, generation: bool, strategy: str = "default", with_score: bool = True, sim_range: tuple[float, float] = (0.9, 0.99), best: Column | None = None, most: float = 1.0, eos: str = "</s>", seed: str = "42") -> Column:
+    """Whole example entries, each opened by the separator, then the entry asked for: whole and closed for training; for generation
+    with wished similarities and score (between the best so far and the possible maximum) and an open molecule."""
+    shown = F.array_join(F.transform(examples, lambda e: F.concat(F.lit(eos), entry_text(e, strategy=strategy, with_score=with_score))), "")
+    if not generation:
+        return F.concat(shown, F.lit(eos), entry_text(last, strategy=strategy, with_score=with_score), F.lit(eos))
+    floor = last["score"] if best is None else best
+    wished = floor + uniform(f"{seed}#score", key) * (F.lit(most) - floor)
+    asked = entry_text(last, strategy=strategy, with_score=with_score, similars=similars_text(last["similars"], *sim_range, seed, key), score=wished, smiles=F.lit("[START_SMILES]"))
+    return F.concat(shown, F.lit(eos), asked)
+
+
+def first_acceptable(samples: DataFrame, group: str, key: str, score: str, acceptable: Column) -> DataFrame:
+    """group, key, score: of each group the acceptable sample of the highest score, of equal ones that of the highest key. A group without one has no row."""
+    best = F.max(F.when(acceptable & F.col(score).isNotNull() & F.col(key).isNotNull(), F.struct(F.col(score).alias("s"), F.col(key).alias("k"))))
+    return samples.groupBy(group).agg(best.alias("b")).where(F.col("b").isNotNull()).select(group, F.col("b.k").alias(key), F.col("b.s").alias(score))

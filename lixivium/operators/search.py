@@ -8,15 +8,16 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lixivium.det import order_key
 from lixivium.functions.tags import last_between
-from lixivium.operators import pool
-from lixivium.session import stage
+from lixivium.operators import metrics, pool
+from lixivium.session import new_path, stage
 
 Generator = Callable[[list[str]], list[str]]
 
@@ -27,6 +28,61 @@ def echo_generator(prompts: list[str]) -> list[str]:
     return [p + "".join(letters[b % len(letters)] for b in hashlib.md5(p.encode()).digest()[: 4 + len(p) % 8]) + "[END_SMILES]" for p in prompts]
 
 
+@dataclass(frozen=True)
+class Property:
+    """A value that prompts carry beside the score: how an entry's is written, and what is asked of the entry to come."""
+
+    start: str
+    end: str
+    value: Callable[[Column], Column]  # of an entry's key
+    wished: Callable[[Column], Column]
+
+
+@dataclass
+class Oracle:
+    """A scorer with a budget: score maps the key of a candidate, or with takes_entry its struct (key, properties), to a number.
+
+    Each candidate is scored once and counts as one call; known ones come from the log. After every so many calls a report of
+    the best scores is due, see reports.
+    """
+
+    score: Callable[[Column], Column]
+    budget: int
+    most: float = 1.0  # the highest score possible, or an upper bound
+    takes_entry: bool = False
+    properties: dict[str, Property] = field(default_factory=dict)
+    report_every: int = 100
+    log: DataFrame | None = None
+    calls: int = 0
+
+    @property
+    def finish(self) -> bool:
+        return self.calls >= self.budget
+
+    def __len__(self) -> int:
+        return self.calls
+
+    def entry(self, key: Column) -> Column:
+        """The entry of a candidate: its key and its properties as texts with their tags."""
+        props = [F.struct(F.lit(p.start).alias("start"), p.value(key).cast("string").alias("value"), F.lit(p.end).alias("end")) for p in self.properties.values()]
+        return F.struct(key.alias("key"), (F.array(*props) if props else F.array().cast("array<struct<start:string,value:string,end:string>>")).alias("properties"))
+
+    def wishes(self, key: Column) -> Column:
+        """The properties asked for in a generation prompt."""
+        return F.concat(F.lit(""), *[F.concat(F.lit(p.start), p.wished(key).cast("string"), F.lit(p.end)) for p in self.properties.values()])
+
+    def scored(self, candidates: DataFrame) -> DataFrame:
+        """candidates (key, ...) with score; what the scorer can't score gets 0."""
+        asked = self.entry(F.col("key")) if self.takes_entry else F.col("key")
+        return candidates.withColumn("score", F.coalesce(self.score(asked).cast("double"), F.lit(0.0)))
+
+    def reports(self) -> DataFrame:
+        """calls, top_1, top_10, top_100 after every report_every calls."""
+        if self.log is None:
+            raise ValueError("nothing has been scored")
+        return metrics.reports(self.log.select("call_idx", "score"), self.report_every)
+
+
 @dataclass
 class Settings:
     pool_size: int = 10
@@ -36,6 +92,8 @@ class Settings:
     budget: int = 300
     validation_share: float = 0.2
     temperature: tuple[float, float] = (1.0, 1.5)
+    most_rounds: int | None = None  # none: only the budget, or idle rounds, end a search
+    idle_rounds: int = 10  # rounds in a row without a new candidate after which it ends
 
 
 def generate(prompts: DataFrame, generator: Generator) -> DataFrame:
@@ -57,10 +115,6 @@ def parse(outputs: DataFrame, valid: Callable[[Column], Column] | None = None) -
 
 def round_prompts(spark: SparkSession, current: DataFrame, s: Settings, number: int) -> DataFrame:
     """pos, prompt: each with its own draw of similars from the pool, which has at most pool_size rows."""
-    from pyspark.sql import Window
-
-    from lixivium.det import order_key
-
     each = spark.range(s.prompts_per_round).withColumnRenamed("id", "pos")
     members = current.agg(F.array_sort(F.collect_list("key")).alias("keys"))  # one row of at most pool_size keys
     drawn = each.join(F.broadcast(members), F.lit(True), "left").select("pos", F.posexplode_outer("keys").alias("i", "key"))
@@ -70,23 +124,45 @@ def round_prompts(spark: SparkSession, current: DataFrame, s: Settings, number:
     return each.join(text, "pos", "left").select("pos", F.concat(F.lit("</s>"), F.coalesce("sims", F.lit("")), F.lit(f"[ROUND]{number}-"), F.col("pos").cast("string"), F.lit("[/ROUND][START_SMILES]")).alias("prompt"))
 
 
-def search(spark: SparkSession, score: Callable[[Column], Column], generator: Generator = echo_generator, settings: Settings | None = None) -> tuple[DataFrame, DataFrame]:
-    """The final pool (key, score, status) and the log (round, call_idx, key, score); stops when the budget is spent."""
+@dataclass
+class Outcome:
+    """pool (key, score, status), log (round, call_idx, key, score) and why the search ended: budget, rounds or idle."""
+
+    pool: DataFrame
+    log: DataFrame
+    reason: str
+
+    def __iter__(self):
+        return iter((self.pool, self.log))
+
+
+def search(spark: SparkSession, score: Callable[[Column], Column] | Oracle, generator: Generator = echo_generator, settings: Settings | None = None) -> Outcome:
+    """Rounds until the oracle's budget is spent; a plain scorer gets the budget of the settings.
+
+    Each round's log is a file of one folder, which is read as one table however many rounds there were.
+    """
     s = settings or Settings()
+    oracle = score if isinstance(score, Oracle) else Oracle(score, s.budget)
     current = spark.createDataFrame([], "key string, score double, status int")
-    log = spark.createDataFrame([], "round int, call_idx bigint, key string, score double")
-    calls, number = 0, 0
-    while calls < s.budget and number < 10 * max(1, s.budget // s.per_round):
+    schema = "round int, call_idx bigint, key string, score double"
+    log, folder = spark.createDataFrame([], schema), new_path(spark, "search-log")
+    number = idle = 0
+    reason = "budget"
+    while not oracle.finish:
+        if s.most_rounds is not None and number >= s.most_rounds:
+            reason = "rounds"
+            break
+        if idle >= s.idle_rounds:
+            reason = "idle"
+            break
         found = parse(generate(round_prompts(spark, current, s, number), generator))
-        new = pool.novel(found, log.select("key")).orderBy("pos").limit(min(s.per_round, s.budget - calls))
-        from pyspark.sql import Window
-
-        scored = new.withColumn("score", score(F.col("key")).cast("double")).withColumn("call_idx", F.row_number().over(Window.orderBy("pos")) + calls)  # at most per_round rows
-        batch = stage(spark, scored.select(F.lit(number).alias("round"), F.col("call_idx").cast("bigint").alias("call_idx"), "key", "score"), "search-round")
+        new = pool.novel(found, log.select("key")).orderBy("pos").limit(min(s.per_round, oracle.budget - oracle.calls))
+        ranked = new.withColumn("call_idx", F.row_number().over(Window.orderBy("pos")) + oracle.calls)  # at most per_round rows
+        oracle.scored(ranked).select(F.lit(number).alias("round"), F.col("call_idx").cast("bigint").alias("call_idx"), "key", "score").write.mode("append").parquet(folder)
+        log = spark.read.schema(schema).parquet(folder)
+        batch = log.where(F.col("round") == number)
         n = batch.count()
-        log = log.unionByName(batch)
         current = stage(spark, pool.assign_statuses(pool.merge(current, batch, s.pool_size), s.pool_size, s.validation_share), "search-pool")
-        calls, number = calls + n, number + 1
-        if n == 0 and number > 3:
-            break
-    return current, log
+        oracle.calls, oracle.log, number = oracle.calls + n, log, number + 1
+        idle = 0 if n else idle + 1
+    return Outcome(current, log, reason)

@@ -1,7 +1,8 @@
 """Quantities in different units and scales, converted to common units with column expressions only.
 
 A row's unit comes from the value's own text, else its unit field, else the unit its name ends with, else the unit its
-description states, else a default of its source (none unless given). Aliases are looked up in a small fixed table, so
+description states, else a default of its source (none unless given). Each of these is looked up on its own and the first
+that is a unit counts, so that a note after the number doesn't hide the unit field. Aliases are looked up in a small fixed table, so
 the only joins are broadcasts of that table; no row is shuffled before the result.
 """
 
@@ -108,6 +109,12 @@ def reading_kind(n: Column) -> Column:
     )
 
 
+#: What after a number makes it no single value of the unit field: further numbers, signs of a range or bound, words of a bound.
+NO_NOTE = rf"[\d±<>≤≥~–—+-]|\bto\b|\b(?:or|and)\b|{BOUND}"
+
+#: Where a description states the unit of its values.
+STATED = r"(?:\b[Uu]nits?(?: used)? ?(?::|=|\bis\b|\bare\b)|\b(?:reported|given|expressed|measured|recorded|stated|listed) (?:in|as)\b|\b(?:[Rr]esults?|[Vv]alues?|[Rr]eadings?)\b[^.;,]{0,40}? as\b|\b[Rr]eadout \() *([^,;()]+?)(?= ?(?:[,;)]|\.?$|\. ))"
+
 #: Number and rest of a value, told apart in one pass.
 _CUT = "\u0001"
 _VALUE = rf"^({NUMBER}) ?(.*)$"
@@ -129,25 +136,30 @@ def convert_readings(df: DataFrame, source_defaults: DataFrame | None = None) ->
     rest = F.when(rest.rlike(r"[(/=]\s*[\d.+-]"), F.trim(F.regexp_replace(rest, rf"\s*[(/=]\s*{NUMBER}\s*[^\d\s][^()]*\)?$", ""))).otherwise(rest)
     field = F.btrim(clean(F.col("unit")), F.lit(" []()"))
     field = F.when(~F.lower(field).isin(NO_UNIT), _lower(field))
-    rows = computed_once(rows, *keep[:3], *keep[4:], "n", "kind", number=parse_number(F.substring_index("cut", _CUT, 1)), own=F.coalesce(F.nullif(_lower(rest), F.lit("")), field)).where(finite(F.col("number")))
-    name, text = clean(F.col("name")), clean(F.col("description"))
+    said = F.nullif(_lower(rest), F.lit(""))
+    rows = computed_once(rows, *keep[:3], *keep[4:], "n", "kind", number=parse_number(F.substring_index("cut", _CUT, 1)), text=said, field=field).where(finite(F.col("number")))
+    name, told = clean(F.col("name")), clean(F.col("description"))
+    neither = F.col("text").isNull() & F.col("field").isNull()
     rows = computed_once(
         rows,
         *keep[:1],
         *keep[4:],
         "kind",
         "number",
-        "own",
-        named=F.when(F.col("own").isNull() & F.col("n").rlike(r"[\])]$|, | in "), _lower(F.coalesce(_first(name, r"[\[(]\s*([^\[\]()]+?)\s*[\])]$"), _first(name, r",\s*(\S.*)$"), _first(name, r"\bin (\S.*)$")))),
-        told=F.when(F.col("own").isNull() & F.col("description").isNotNull(), _lower(_first(text, r"(?:[Uu]nits?:|reported in|given in|of this panel as|[Rr]eadout \() *(.+?)(?:\.$|, mean of|; fitted|\)\.?$)"))),
+        "text",
+        field=F.when(F.col("text").isNull() | ~F.col("text").rlike(NO_NOTE), F.col("field")),
+        own=F.coalesce("text", "field"),
+        named=F.when(neither & F.col("n").rlike(r"[\])]$|, | in "), _lower(F.coalesce(_first(name, r"[\[(]\s*([^\[\]()]+?)\s*[\])]$"), _first(name, r",\s*(\S.*)$"), _first(name, r"\bin (\S.*)$")))),
+        told=F.when(neither & F.col("description").isNotNull(), _lower(_first(told, STATED))),
     )
     if source_defaults is not None:
         rows = rows.withColumnRenamed("source", "_source")
     molar = F.when(F.col("kind") == "p_potency", F.lit("potency")).otherwise(F.col("kind"))
-    for col in ("own", "named", "told"):
+    places = ("text", "field", "named", "told")
+    for col in places:
         t = unit_table(spark).select(F.col("u_kind").alias(f"{col}_kind"), F.col("u_alias").alias(f"{col}_alias"), F.struct(F.col("u_alias").alias("alias"), F.col("u_factor").alias("factor"), F.col("u_offset").alias("offset")).alias(f"{col}_unit"))
         rows = rows.join(t, (molar == F.col(f"{col}_kind")) & (F.col(col) == F.col(f"{col}_alias")), "left").drop(f"{col}_kind", f"{col}_alias")
-    unit = F.coalesce("own_unit", "named_unit", "told_unit")
+    unit = F.coalesce(*[f"{col}_unit" for col in places])
     if source_defaults is not None:
         t = F.broadcast(source_defaults.select("source", "d_kind", F.col("d_alias").alias("u_alias")).join(unit_table(spark).withColumnRenamed("u_kind", "k2"), "u_alias").where("d_kind = k2").select(F.col("source").alias("_s"), "d_kind", F.struct(F.col("u_alias").alias("alias"), F.col("u_factor").alias("factor"), F.col("u_offset").alias("offset")).alias("default_unit")))
         rows = rows.join(t, (F.col("_source") == F.col("_s")) & (F.col("kind") == F.col("d_kind")), "left")

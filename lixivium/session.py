@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -43,9 +45,36 @@ def shared_dir(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
+_MADE: list[str] = []  # folders of this process below the shared one
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one, deleted by release or when the process ends."""
+    if not _MADE:
+        atexit.register(_at_exit, spark)
+    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    _MADE.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes what stage and new_path made: results that still read it must have been consumed or written."""
+    if spark.sparkContext._jsc is None:  # stopped: nothing can be deleted any more
+        return
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _MADE:
+        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+def _at_exit(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended in any way
+        release(spark)
+
+
 def stage(spark: SparkSession, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Writes df once to the shared folder and reads it back: later branches neither recompute nor depend on an executor."""
-    path = os.path.join(shared_dir(spark), f"stage-{name}-{uuid.uuid4().hex}")
+    path = new_path(spark, f"stage-{name}")
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(partition_by)

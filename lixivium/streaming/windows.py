@@ -2,39 +2,56 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lixivium.session import shared_dir
+from lixivium.session import new_path
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-def events(spark: SparkSession, sf_dir: str, late: str = "1 hour") -> DataFrame:
-    """The events as a stream with event time and a watermark."""
+def events(spark: SparkSession, sf_dir: str, late: str = "1 hour", marker: str | None = None) -> DataFrame:
+    """The events as a stream with event time and a watermark; a marker row of completed may end it."""
     rows = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1).parquet(sf_dir)
+    if marker is not None:
+        rows = rows.unionByName(spark.readStream.schema(EVENTS).parquet(marker))
     return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
 
 
-def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """What the stream gives until its sources are exhausted, written with a checkpoint so that a restart goes on from there.
+def drained(stream: DataFrame, name: str, mode: str = "append", base: str | None = None) -> DataFrame:
+    """What the stream gives until its sources are exhausted, added to what it gave before.
 
-    In append mode windows and sessions that end after the last watermark (the latest event minus the allowed lateness)
-    stay open in the checkpoint and don't come out, as the stream might go on.
+    base is the folder of its output and checkpoint: called again with the same base, it goes on where it stopped. Without one
+    a new folder of the shared folder is taken. In append mode windows and sessions that end after the last watermark stay
+    open in the checkpoint, as the stream might go on; completed closes them.
     """
     spark = stream.sparkSession
-    base = os.path.join(shared_dir(spark), f"stream-{name}-{uuid.uuid4().hex}")
+    base = base or new_path(spark, f"stream-{name}")
     query = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
+def completed(spark: SparkSession, build: Callable[[str], DataFrame], name: str, base: str | None = None) -> DataFrame:
+    """All that a finite stream gives, its last windows and sessions included.
+
+    build makes the stream from a marker folder (see events). The stream is drained; then a row far in the future is put into
+    the folder and the stream goes on from its checkpoint, so that the watermark passes all that is still open. Events that
+    come after that are too late.
+    """
+    base = base or new_path(spark, f"stream-{name}")
+    marker = f"{base}/marker"
+    empty = spark.createDataFrame([], EVENTS)
+    empty.write.mode("ignore").parquet(marker)
+    drained(build(marker), name, base=base)
+    spark.sql("select null as event_id, timestamp_ntz'9999-01-01 00:00:00' as ts, null as user_id, null as event_type, null as value, null as props").select(*[F.col(f.name).cast(f.dataType) for f in empty.schema]).coalesce(1).write.mode("append").parquet(marker)
+    return drained(build(marker), name, base=base)
+
+
 def counts(stream: DataFrame, width: str = "1 hour", slide: str | None = None) -> DataFrame:
     """Tumbling or sliding windows: events and their total per type; a window comes out when the watermark has passed it."""
     window = F.window("ts", width, slide) if slide else F.window("ts", width)

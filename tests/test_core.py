@@ -168,3 +168,56 @@ def test_search_spends_its_budget(spark):
     assert len({r["key"] for r in rows}) == 20
     top = sorted(((r["score"], r["key"]) for r in rows), reverse=True)[:5]
     assert sorted(((r["score"], r["key"]) for r in best.collect()), reverse=True) == top
+
+
+def test_a_search_says_why_it_ended(spark):
+    s = search.Settings(pool_size=3, per_round=4, prompts_per_round=4, budget=50)
+    silent = search.search(spark, lambda c: F.length(c) / F.lit(10.0), generator=lambda prompts: ["nothing"] * len(prompts), settings=search.Settings(**{**vars(s), "idle_rounds": 2}))
+    assert (silent.reason, silent.log.count()) == ("idle", 0)
+    few = search.search(spark, lambda c: F.length(c) / F.lit(10.0), settings=search.Settings(**{**vars(s), "most_rounds": 1}))
+    assert (few.reason, few.log.select("round").distinct().count()) == ("rounds", 1)
+
+
+def test_an_oracle_scores_entries_and_keeps_its_budget(spark):
+    length = search.Property("[LEN]", "[/LEN]", F.length, lambda key: F.lit(9))
+    oracle = search.Oracle(lambda e: e["properties"][0]["value"].cast("double"), 12, takes_entry=True, properties={"length": length}, report_every=5)
+    found = search.search(spark, oracle, settings=search.Settings(pool_size=4, per_round=6, prompts_per_round=12))
+    assert (found.reason, len(oracle), oracle.finish) == ("budget", 12, True)
+    assert all(r["score"] == len(r["key"]) for r in found.log.collect())
+    assert [r["calls"] for r in oracle.reports().orderBy("calls").collect()] == [5, 10]
+
+
+def test_running_tops_equal_the_formula(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "SPAN", 3)
+    rng = random.Random(8)
+    scores = [rng.random() for _ in range(400)]
+    df = spark.createDataFrame([(i + 1, s) for i, s in enumerate(scores)], "call_idx bigint, score double")
+    got = {r["b"]: r["means"] for r in metrics.running_tops(df, 7, (1, 5)).collect()}
+    assert len(got) == 58
+    for b, (one, five) in got.items():
+        best = sorted(scores[: (b + 1) * 7], reverse=True)
+        assert (one, five) == (best[0], pytest.approx(sum(best[:5]) / 5))
+
+
+def test_what_cannot_be_paired_or_split_is_an_error(spark):
+    from lixivium.operators import pipeline
+
+    for folders, kinds in ((["a"], ["assay", "assay"]), (["a"], ["other"])):
+        df = spark.createDataFrame([(folders, kinds)], "f array<string>, k array<string>")
+        with pytest.raises(Exception, match="kind"):
+            df.select(pipeline.paired(F.col("f"), F.col("k"))).collect()
+    with pytest.raises(ValueError, match="split"):
+        pipeline.rank_rows(spark.range(5), "id", 10, 3, split_batches=True)
+    with pytest.raises(ValueError, match="kind"):
+        pipeline.settings_of("other", 5)
+    assert pipeline.rank_rows(spark.range(3), "id", 4, 2).count() == 8
+
+
+def test_losses_add_up():
+    rng = random.Random(6)
+    some = lambda n, p: [f"{p}{i}" for i in range(n)]
+    compound = assembly.Compound(some(2, "s"), [(some(2, "n"), some(rng.randint(0, 30), "d"), [some(3, "v")] * 3) for _ in range(4)], {})
+    marked = [assembly.Content(t) for n, d, vs in compound.assays for t in n + d]
+    assert len(assembly.content(marked + marked)) == len(marked)
+    listed = assembly.compound_of({"SMILES": "C", "CID": 5, "assays": None, "synonyms": [{"name": "a b"}, None], "related": [{"SMILES": "N", "similarity": 0.5}], "experimental": None}, assembly.by_blanks)
+    assert listed.computed == {"CID": [["[CID]5[/CID]"]], "synonyms": [["[SYNONYM]a", "b[/SYNONYM]"]], "related": [["[SIMILAR]N", "0.5[/SIMILAR]"]]}

@@ -48,12 +48,16 @@ def test_readings_where_the_unit_stands(spark):
         ("Cmax", None, "2", "kg/m3"),
         ("IC50", None, "3.0 nM (0.003 uM)", None),
         ("IC50", None, "5", "1e-9 M"),
+        ("IC50", None, "5 approx.", "nM"),
+        ("IC50", "Values of both runs are expressed as uM, after correction.", "5", None),
+        ("IC50", "Unit = nmol/L", "5", None),
+        ("IC50", None, "5 uM", "nM"),
     )
-    assert got == {0: 2500, 1: 144000000, 2: 500000, 3: 500000000, 4: 12000, 5: 34100, 6: 7200, 7: 28300000, 8: 3000, 9: 3, 10: 1000000, 11: 1000, 12: 37, 13: 20, 14: 15000, 15: 2000000, 16: 3000, 17: 5000}
+    assert got == {18: 5000, 19: 5000000, 20: 5000, 21: 5000000, 0: 2500, 1: 144000000, 2: 500000, 3: 500000000, 4: 12000, 5: 34100, 6: 7200, 7: 28300000, 8: 3000, 9: 3, 10: 1000000, 11: 1000, 12: 37, 13: 20, 14: 15000, 15: 2000000, 16: 3000, 17: 5000}
 
 
 def test_readings_that_are_no_case(spark):
-    got = readings(spark, ("IC50", None, "<5", "nM"), ("IC50", None, "3-5", "nM"), ("IC50", None, "3 to 5", "nM"), ("IC50", None, "5", None), ("IC50", None, "5", "RFU"), ("Temp", "Plates were read after 30 min at 37 °C.", "25", ""), ("Hill slope", None, "1", "nM"), (None, None, "1", "nM"), ("IC50", None, None, "nM"), ("IC50", None, "", "nM"), ("IC50", None, "NaN", "nM"), ("IC50", None, "n.d.", "nM"), ("% viability", None, "5", "%"))
+    got = readings(spark, ("IC50", None, "<5", "nM"), ("IC50", None, "3-5", "nM"), ("IC50", None, "3 to 5", "nM"), ("IC50", None, "3 or more", "nM"), ("IC50", None, "3 at most", "nM"), ("IC50", None, "3 ± 1", "nM"), ("IC50", None, "3 – 5", "nM"), ("IC50", None, "5", None), ("IC50", None, "5", "RFU"), ("Temp", "Plates were read after 30 min at 37 °C.", "25", ""), ("Hill slope", None, "1", "nM"), (None, None, "1", "nM"), ("IC50", None, None, "nM"), ("IC50", None, "", "nM"), ("IC50", None, "NaN", "nM"), ("IC50", None, "n.d.", "nM"), ("% viability", None, "5", "%"))
     assert got == {}
 
 

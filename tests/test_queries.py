@@ -3,10 +3,10 @@
 import pytest
 from oracle import DATA, compare, connection
 
-from lixivium.plans import corpus, evaluation, general, runs, search
+from lixivium.plans import corpus, evaluation, general, runs, search, toolbox
 
 SF = f"{DATA}/sf0.001"
-QUERIES = {n: (f, m.SQL.get(n)) for m in (corpus, search, evaluation, runs, general) for n, f in m.QUERIES.items()}
+QUERIES = {n: (f, m.SQL.get(n)) for m in (corpus, search, evaluation, runs, toolbox, general) for n, f in m.QUERIES.items()}
 
 
 @pytest.fixture(scope="module")
