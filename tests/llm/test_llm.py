@@ -182,6 +182,19 @@ def test_overlaps_equal_brute_force(spark):
     assert overlap.pairs(overlap.staged(df.limit(0))).count() == 0
 
 
+@given(st.lists(st.text(alphabet="CNOc1(=)^2&", max_size=120), max_size=6))
+@settings(max_examples=60, deadline=None)
+def test_batches_are_cut_like_single_texts(texts):
+    data, ends, counts = overlap.cut_ends(texts)
+    chunks = [overlap.cut_chunks(t) for t in texts]
+    assert counts.tolist() == [len(c) for c in chunks]
+    flat = [x for c in chunks for x in c]
+    assert np.diff(ends, prepend=0).tolist() == [len(x) for x in flat]
+    named = dict(zip(flat, overlap.digests(data, ends).tolist(), strict=True))
+    assert all(named[x] == d for x, d in zip(flat, overlap.digests(data, ends).tolist(), strict=True))
+    assert len(set(named.values())) == len(named)
+
+
 def test_near_links_equal_brute_force(spark):
     """Every pair of texts that share four fifths of the longer one in chunks, among molecules changed in one place."""
     from collections import Counter
@@ -203,7 +216,10 @@ def test_near_links_equal_brute_force(spark):
     shared = lambda a, b: sum(len(c) * min(n, chunks[b][c]) for c, n in chunks[a].items())
     expected = {(e, t) for e in texts["test"] for t in texts["train"] if shared(e, t) >= 0.8 * max(len(e), len(t))}
     all_ = overlap.classes(recs)
-    name = {r["class_id"]: r["text"] for r in all_.collect()}
+    import hashlib
+
+    name = {hashlib.md5(f"smiles:{t}".encode()).hexdigest(): t for ts in texts.values() for t in ts}
+    assert {r["class_id"]: r["n"] for r in all_.collect()} == {k: len(t) for k, t in name.items()}
     got = {(name[r["e_class"]], name[r["t_class"]]) for r in overlap.links(all_).collect()}
     assert got == expected
     near = [p for p in expected if p[0] != p[1]]
