@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lixivium.det import order_key
@@ -65,9 +65,11 @@ def rank_shards(df: DataFrame, file_col: str, line_col: str, ranks: int) -> Data
 def interleave(df: DataFrame, source_col: str, id_col: str) -> DataFrame:
     """df with round and position: one row of each source in turn, in id order, until the first source is exhausted."""
     rows = numbered(df, F.expr(f"{id_col} div {ID_RANGE}"), F.col(id_col), within=[source_col], name="round")
-    counts = df.groupBy(source_col).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.min("n").alias("rounds"), F.array_sort(F.collect_list(source_col)).alias("sources"))  # one row: the sources
-    return rows.join(F.broadcast(total), F.col("round") <= F.col("rounds")).withColumn("position", (F.col("round") - 1) * F.size("sources") + F.array_position("sources", F.col(source_col))).drop("rounds", "sources")
+    counts = df.groupBy(source_col).agg(F.count(F.lit(1)).alias("_n"))
+    places = counts.select(source_col, F.row_number().over(Window.orderBy(source_col)).alias("_place"))  # one row a source
+    total = counts.agg(F.min("_n").alias("_rounds"), F.count(F.lit(1)).alias("_sources"))  # one row
+    turns = rows.join(F.broadcast(total), F.col("round") <= F.col("_rounds")).join(places, source_col)
+    return turns.withColumn("position", (F.col("round") - 1) * F.col("_sources") + F.col("_place")).drop("_rounds", "_sources", "_place")
 
 
 def shuffled_batches(df: DataFrame, id_col: str, size: int, seed: str = "42") -> DataFrame:

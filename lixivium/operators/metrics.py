@@ -107,14 +107,22 @@ def perplexities(df: DataFrame, group: str, prop: str, loss: str) -> DataFrame:
     return by_prop.unionByName(whole).select("property", F.round(F.col("p") / F.greatest(F.col("n"), F.lit(1)), 6).alias("perplexity"), "n")
 
 
+PAIR_SPAN = 65_536  # positions of a group that one task pairs
+
+
 def pair_tags(df: DataFrame, group: str, pos: str, is_start: Column, is_end: Column) -> DataFrame:
     """group, start_pos, end_pos: for each start the first end strictly after it in its group; an end may serve several starts.
 
-    One pass over each group, backwards, so the frame only grows at one end.
+    A group is cut into spans of positions: each start looks in its own span, those that find nothing there take the first end
+    of the next span that has one, so a group of any size is many tasks.
     """
-    after = Window.partitionBy(group).orderBy(F.col(pos).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    rows = df.select(group, F.col(pos).alias("start_pos"), is_start.alias("s"), F.when(is_end, F.col(pos)).alias("e"), F.col(pos))
-    return rows.withColumn("end_pos", F.last("e", ignorenulls=True).over(after)).where(F.col("s") & F.col("end_pos").isNotNull()).select(group, "start_pos", "end_pos")
+    rows = df.select(group, F.col(pos).alias("start_pos"), is_start.alias("s"), F.when(is_end, F.col(pos)).alias("e"), F.expr(f"{pos} div {PAIR_SPAN}").alias("_span"))
+    after = Window.partitionBy(group, "_span").orderBy(F.col("start_pos").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    here = rows.withColumn("_own", F.last("e", ignorenulls=True).over(after)).where("s")
+    later = Window.partitionBy(group).orderBy(F.col("_span").desc()).rowsBetween(Window.unboundedPreceding, -1)  # one row a span
+    firsts = rows.groupBy(group, "_span").agg(F.min("e").alias("_e")).withColumn("_next", F.last("_e", ignorenulls=True).over(later)).drop("_e")
+    both = here.join(firsts, [group, "_span"]).withColumn("end_pos", F.coalesce("_own", "_next"))
+    return both.where(F.col("end_pos").isNotNull()).select(group, "start_pos", "end_pos")
 
 
 def loss_plateau(log: DataFrame, patience: int, delta: int, share: float, most: int, start: int = 1) -> DataFrame:

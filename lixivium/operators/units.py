@@ -161,7 +161,7 @@ def convert_readings(df: DataFrame, source_defaults: DataFrame | None = None) ->
         rows = rows.join(t, (molar == F.col(f"{col}_kind")) & (F.col(col) == F.col(f"{col}_alias")), "left").drop(f"{col}_kind", f"{col}_alias")
     unit = F.coalesce(*[f"{col}_unit" for col in places])
     if source_defaults is not None:
-        t = F.broadcast(source_defaults.select("source", "d_kind", F.col("d_alias").alias("u_alias")).join(unit_table(spark).withColumnRenamed("u_kind", "k2"), "u_alias").where("d_kind = k2").select(F.col("source").alias("_s"), "d_kind", F.struct(F.col("u_alias").alias("alias"), F.col("u_factor").alias("factor"), F.col("u_offset").alias("offset")).alias("default_unit")))
+        t = source_defaults.select("source", "d_kind", F.col("d_alias").alias("u_alias")).join(unit_table(spark).withColumnRenamed("u_kind", "k2"), "u_alias").where("d_kind = k2").select(F.col("source").alias("_s"), "d_kind", F.struct(F.col("u_alias").alias("alias"), F.col("u_factor").alias("factor"), F.col("u_offset").alias("offset")).alias("default_unit"))  # of any size: broadcast only if Spark finds it small
         rows = rows.join(t, (F.col("_source") == F.col("_s")) & (F.col("kind") == F.col("d_kind")), "left")
         unit = F.coalesce(unit, F.when(F.col("own").isNull(), F.col("default_unit")))
     p_scale = F.col("kind") == "p_potency"
