@@ -111,17 +111,22 @@ _VARIABLES = "array<struct<name:string,description:string,value:string,unit:stri
 
 
 def oversized(records: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """record_id, assay_pos, field, text of the descriptions and variables above the limit; only these leave the JVM."""
+    """record_id, assay_pos, field, n_chars, text of the texts above the limit; only these leave the JVM.
+
+    n_chars: the characters of a description, or of all fields of the variables added up; their text has separators besides.
+    """
     assays = records.where(F.col("record_id").isNotNull()).select("record_id", F.posexplode("assays").alias("assay_pos", "a"))
     vs = F.col("a.variables").cast(_VARIABLES)
+    most = variables_length(vs) + 9 * F.coalesce(F.size(vs), F.lit(0)) + F.size(F.coalesce(vs, F.array().cast(_VARIABLES)))  # no text of them is longer
+    joined = F.when(most > limit, variables_text(vs))
     fields = F.array(
-        F.when(F.length("a.description") > limit, F.struct(F.lit("description").alias("field"), F.col("a.description").alias("text"))),
-        F.when(variables_length(vs) > limit, F.struct(F.lit("variables").alias("field"), variables_text(vs).alias("text"))),
+        F.when(F.length("a.description") > limit, F.struct(F.lit("description").alias("field"), F.length("a.description").alias("n_chars"), F.col("a.description").alias("text"))),
+        F.when(F.length(joined) > limit, F.struct(F.lit("variables").alias("field"), variables_length(vs).alias("n_chars"), joined.alias("text"))),
     )
     return assays.select("record_id", "assay_pos", F.inline(F.array_compact(fields)))
 
 
-PIECE_SCHEMA = "record_id bigint, assay_pos int, field string, piece int, start int, end int, text string"
+PIECE_SCHEMA = "record_id bigint, assay_pos int, field string, n_chars int, piece int, start int, end int, text string"
 
 
 def split_records(records: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
@@ -135,12 +140,12 @@ def split_records(records: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP
         for batch in batches:
             rows: list[tuple] = []
             for r in batch.itertuples(index=False):
-                rows += [(r.record_id, r.assay_pos, r.field, i, a, b, r.text[a:b]) for i, (a, b) in enumerate(pieces(r.text, limit, overlap))]
+                rows += [(r.record_id, r.assay_pos, r.field, r.n_chars, i, a, b, r.text[a:b]) for i, (a, b) in enumerate(pieces(r.text, limit, overlap))]
             yield pd.DataFrame(rows, columns=columns)
 
     return oversized(records, limit).mapInPandas(cut, PIECE_SCHEMA).dropDuplicates(["record_id", "assay_pos", "field", "piece"])
 
 
 def found(records: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """record_id, assay_pos, field of the texts that had to be cut."""
-    return split_records(records, limit).where(F.col("piece") == 1).select("record_id", F.col("assay_pos").cast("bigint").alias("assay_pos"), "field").distinct()
+    """record_id, assay_pos, field of the texts that had to be cut, by the characters of their fields."""
+    return split_records(records, limit).where((F.col("piece") == 1) & (F.col("n_chars") > limit)).select("record_id", F.col("assay_pos").cast("bigint").alias("assay_pos"), "field").distinct()

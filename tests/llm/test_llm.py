@@ -269,6 +269,25 @@ def test_cuts_are_at_the_highest_boundary():
         split.pieces("x", 5, 5)
 
 
+def test_pieces_share_text_where_there_are_words():
+    rng = random.Random(3)
+    for _ in range(30):
+        text = "".join(rng.choice(["word ", "longer words ", "end. ", "next\n", "part\n\n"]) for _ in range(900))
+        got = split.pieces(text, 2500, 200)
+        shared = [b - c for (_, b), (c, _) in zip(got, got[1:], strict=False)]
+        assert all(0 < n <= 200 for n in shared)
+        assert np.median(shared) > 100
+
+
+def test_variables_longer_only_with_separators_are_cut_but_no_case(spark):
+    rows = [(1, [("a", None, [("n" * 24, None, None, None)] * 104)])]  # 2,496 characters, 2,599 with line ends
+    df = spark.createDataFrame(rows, ASSAYS)
+    assert split.found(df).count() == 0
+    parts = split.split_records(df).collect()
+    assert len(parts) == 2
+    assert {r["n_chars"] for r in parts} == {2496}
+
+
 ASSAYS = "record_id bigint, assays array<struct<name:string,description:string,variables:array<struct<name:string,description:string,value:string,unit:string>>>>"
 
 
