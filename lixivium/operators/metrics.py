@@ -173,6 +173,17 @@ def best_state(log: DataFrame, group: str, pos: str, loss: str) -> DataFrame:
     return log.groupBy(group).agg(F.min(F.struct(F.col(loss).alias("l"), (-F.col(pos)).alias("p"))).alias("m")).select(group, F.col("m.l").alias("best_loss"), (-F.col("m.p")).alias("best_pos"))
 
 
+def by_module(counts: DataFrame, module: str, ops: str) -> DataFrame:
+    """module, n_calls, ops: the calls and operations of each module with those of all modules inside it.
+
+    module is a path joined by dots; each call counts once for every part of its path, the modules that were open around it.
+    """
+    sums = counts.groupBy(module).agg(F.count(F.lit(1)).alias("n_calls"), F.sum(ops).alias("ops"))  # a row a leaf before it is spread
+    parts = F.split(F.col(module), r"\.")
+    paths = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "."))
+    return sums.select(F.explode(paths).alias("module"), "n_calls", "ops").groupBy("module").agg(F.sum("n_calls").alias("n_calls"), F.sum("ops").alias("ops"))
+
+
 def array_difference(a: Column, b: Column) -> dict[str, Column]:
     """Least, most, mean and median absolute difference of two arrays' elements, and how many differ."""
     d = F.array_sort(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double"))))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lixivium import det
 from lixivium.functions import arrays, tags
-from lixivium.operators import assembly, blocks, chem, metrics, pipeline, pool, search
+from lixivium.operators import assembly, blocks, chem, grid, metrics, pipeline, pool, search
 from lixivium.plans import corpus
 from lixivium.session import new_path, table
 from lixivium.sources import files
@@ -224,7 +224,40 @@ def path_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("path", run.alias("run"), step.alias("step"), F.concat(F.lit("round-2."), F.substring(run, 1, 6), F.lit(".step-"), step, F.lit(".csv")).alias("samples"))
 
 
-QUERIES = {f.__name__: f for f in (training_blocks, pipeline_computed, pipeline_assay, assembly_content, assembly_losses, sampler_shards, uneven_shards, folder_kinds, example_prompts, first_acceptable, oracle_reports, oracle_entries, chemistry_values, legacy_assays, settings_file, token_map_file, text_scan, metrics_log, status_upsert, metric_hooks, logits_chain, gradient_ops, random_whole, path_forms)}
+def module_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operations counted at the leaves of a tree of modules, added up for each module and every module around it."""
+    nations = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))  # fixed tables
+    rows = table(spark, sf_dir, "customer").join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey"))
+    return metrics.by_module(rows.select(F.concat_ws(".", F.lit("model"), "r_name", "n_name", "c_mktsegment").alias("module"), F.lit(3).alias("ops")), "module", "ops")
+
+
+def valid_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outputs of a generator read and checked by a predicate: documents that end in a molecule with a ring and no bromine."""
+    outputs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), F.col("text").alias("output"))
+    return search.parse(outputs, lambda key: key.contains("1") & ~key.contains("Br"))
+
+
+def first_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first forty new candidates in the order they came."""
+    log = table(spark, sf_dir, "events").select(F.col("event_id").alias("pos"), F.concat(F.lit("m"), "user_id").alias("key"), "event_type")
+    return pool.novel(log.select("key", "pos"), log.where(F.col("event_type") == "purchase").select("key").distinct()).select("key", "pos").orderBy("pos").limit(40)
+
+
+def pool_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training and the validation part of a pool."""
+    log = table(spark, sf_dir, "events").select(F.concat(F.lit("m"), "user_id").alias("key"), F.col("value").alias("score"))
+    whole = pool.assign_statuses(pool.merge(log.withColumn("status", F.lit(pool.NONE)), log.limit(0), 40), 40, 0.25)
+    train, valid = pool.train_valid(whole)
+    return train.select(F.lit("train").alias("part"), "key", "score").unionByName(valid.select(F.lit("valid").alias("part"), "key", "score"))
+
+
+def step_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Optimiser steps of a fine-tuning round for several pools."""
+    rows = [(n, e, grid.train_steps(n, 0.2, e, 8)) for n in (10, 50, 200) for e in (1, 5)]
+    return spark.createDataFrame(rows, "pool_size bigint, epochs bigint, steps bigint")
+
+
+QUERIES = {f.__name__: f for f in (module_operations, valid_candidates, first_candidates, pool_parts, step_budgets, training_blocks, pipeline_computed, pipeline_assay, assembly_content, assembly_losses, sampler_shards, uneven_shards, folder_kinds, example_prompts, first_acceptable, oracle_reports, oracle_entries, chemistry_values, legacy_assays, settings_file, token_map_file, text_scan, metrics_log, status_upsert, metric_hooks, logits_chain, gradient_ops, random_whole, path_forms)}
 
 _ONE = "(select distinct on (record_id) * from compounds order by record_id)"
 _UNI = "(concat('0x', substr(md5({}), 1, 8))::ubigint / 4294967296.0::double)"
@@ -258,6 +291,14 @@ def _prompt(scored: bool, generation: bool) -> str:
 
 
 SQL = {
+    "module_operations": """
+        with m as (select r_name, n_name, c_mktsegment from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey),
+        a as (select unnest(['model', concat('model.', r_name), concat('model.', r_name, '.', n_name), concat('model.', r_name, '.', n_name, '.', c_mktsegment)]) as module from m)
+        select module, count(*) as n_calls, (3 * count(*))::bigint as ops from a group by 1""",
+    "valid_candidates": f"with x as ({corpus.SQL['extract_last_tag']}) select doc_id as pos, smiles as key from x where contains(smiles, '1') and not contains(smiles, 'Br')",
+    "first_candidates": "with l as (select concat('m', user_id) as key, min(event_id) as pos from events where user_id not in (select user_id from events where event_type = 'purchase') group by 1) select key, pos from l order by pos limit 40",
+    "pool_parts": "with t as (select concat('m', user_id) as key, max(value) as score from events group by 1), r as (select *, row_number() over (order by score desc, key desc) as rn from t) select case when rn <= 11 then 'valid' else 'train' end as part, key, score from r where rn <= 40",
+    "step_budgets": "select n as pool_size, e as epochs, greatest(1, (n - (floor(n * 0.2) + 1)::bigint) * e // 8)::bigint as steps from (select unnest([10, 50, 200])::bigint as n), (select unnest([1, 5])::bigint as e)",
     "training_blocks": """
         with i as (select distinct on (item_id) item_id, coalesce(input_ids, []) as a, attention_mask as m from encoded_items where item_id is not null order by item_id),
         d as (select item_id, (row_number() over (order by item_id) - 1) // 50 as batch_id, a, list_transform(range(1, len(a) + 1), lambda k: coalesce(m[k], 1)) as m from i),
