@@ -147,7 +147,7 @@ def convert_readings(df: DataFrame, source_defaults: DataFrame | None = None) ->
         "kind",
         "number",
         "text",
-        field=F.when(F.col("text").isNull() | ~F.col("text").rlike(NO_NOTE), F.col("field")),
+        field=F.when(F.col("text").isNull() | F.col("field").isNull(), F.col("field")).when(~F.col("text").rlike(NO_NOTE), F.col("field")),  # few rows have both
         own=F.coalesce("text", "field"),
         named=F.when(neither & F.col("n").rlike(r"[\])]$|, | in "), _lower(F.coalesce(_first(name, r"[\[(]\s*([^\[\]()]+?)\s*[\])]$"), _first(name, r",\s*(\S.*)$"), _first(name, r"\bin (\S.*)$")))),
         told=F.when(neither & F.col("description").isNotNull(), _lower(_first(told, STATED))),
