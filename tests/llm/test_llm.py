@@ -318,6 +318,12 @@ def test_chunked_ids_are_the_plain_ids(spark):
     assert tiny_encode(spark, [None])[0] == []
 
 
+@given(st.text(alphabet=st.characters(max_codepoint=127), max_size=200))
+@settings(max_examples=400, deadline=None)
+def test_ascii_texts_have_the_plain_ids(text):
+    assert tokenize.ascii_ids(text, tokenize.TOKENIZER).tolist() == tokenize.encoding(tokenize.TOKENIZER).encode_ordinary(text)
+
+
 def test_decoding_gives_the_text_back(spark):
     texts = ["", "😀 é\r\n\t。", "plain words", "a" * 300]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
