@@ -14,7 +14,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -35,13 +35,16 @@ SHORT, RUN_ON, WINDOW = 6, 60, 15  # words: shorter sentences count less; longer
 _TAGS = re.compile(r"\[([A-Z][A-Z_]*)\].*?\[/\1\]|\[START_SMILES\].*?\[END_SMILES\]|\[/?[A-Z][A-Z_]*\]", re.S)
 _SENTENCE = re.compile(r"(?<=[.!?;。])[\"')\]]*\s+|[\n\r]+|;|, (?:and|but|while|so|whereas) ")
 _WORD = re.compile(r"[^\W\d_]+(?:['-][^\W\d_]+)*")
+_ASCII_WORD = re.compile(r"[a-z]+(?:['-][a-z]+)*")  # the same for lower case ASCII texts
 
 
 def sentences(text: str) -> list[list[str]]:
     """The words, in lower case, of each sentence; texts run together without stops are cut into windows."""
     out = []
-    for s in _SENTENCE.split(_TAGS.sub(". ", text)):
-        words = _WORD.findall(s.lower().replace("’", "'"))
+    plain = (_TAGS.sub(". ", text) if "[" in text else text).replace("’", "'")
+    word = (_ASCII_WORD if plain.isascii() else _WORD).findall
+    for s in _SENTENCE.split(plain):
+        words = word(s.lower())
         if len(words) > RUN_ON:
             out += [words[i : i + WINDOW] for i in range(0, len(words), WINDOW)]
         elif words:
@@ -62,26 +65,19 @@ class Trigrams:
         total = sum(seen.values()) + self.PSEUDO * self.KINDS
         self.log = {g: math.log((n + self.PSEUDO) / total) for g, n in seen.items()}
         self.unseen = math.log(self.PSEUDO / total)
-        self.known: dict[str, float] = {}
 
     @staticmethod
     def of(word: str) -> list[str]:
         padded = f" {word} "
         return [padded[i : i + 3] for i in range(len(word))]
 
+    def of_word(self, word: str) -> float:
+        """The log likelihood of a word's trigrams added up."""
+        return sum(self.log.get(g, self.unseen) for g in self.of(word))
+
     def mean(self, parts: list[list[str]]) -> float:
         """The mean log likelihood of a trigram of these sentences; they hold at least one word."""
-        total, n = 0.0, 0
-        for words in parts:
-            for w in words:
-                v = self.known.get(w)
-                if v is None:
-                    if len(self.known) > 200_000:  # only a cache
-                        self.known.clear()
-                    v = self.known[w] = sum(self.log.get(g, self.unseen) for g in self.of(w))
-                total += v
-                n += len(w)
-        return total / n
+        return sum(self.of_word(w) for words in parts for w in words) / sum(len(w) for words in parts for w in words)
 
 
 def _counted(docs: list[list[list[str]]]) -> Counter:
@@ -93,11 +89,24 @@ class Language:
     english: Trigrams
     other: Trigrams | None
     least: float
+    known: dict[str, tuple[float, float]] = field(default_factory=dict, repr=False)
 
     def holds(self, parts: list[list[str]]) -> bool:
         """Whether sentences are English: as likely as English texts are, and likelier than under the trigrams of others."""
-        own = self.english.mean(parts)
-        return own >= self.least and (self.other is None or own >= self.other.mean(parts))
+        own = other = 0.0
+        n = 0
+        known = self.known
+        for words in parts:
+            for w in words:
+                v = known.get(w)
+                if v is None:
+                    if len(known) > 200_000:  # only a cache
+                        known.clear()
+                    v = known[w] = (self.english.of_word(w), self.other.of_word(w) if self.other else -math.inf)
+                own += v[0]
+                other += v[1]
+                n += len(w)
+        return own >= self.least * n and own >= other
 
 
 def fit_language(english: list[list[list[str]]], other: list[list[list[str]]]) -> Language | None:
@@ -109,27 +118,25 @@ def fit_language(english: list[list[list[str]]], other: list[list[list[str]]]) -
     held = sorted([halves[1].mean(d) for d in docs[0::2]] + [halves[0].mean(d) for d in docs[1::2]]) if len(docs) > 1 else [halves[0].mean(docs[0])]
     model = Language(Trigrams(_counted(docs)), None, held[len(held) // 100] - MARGIN)
     foreign = [d for d in other if d and not model.holds(d)]
-    if foreign:
-        model.other = Trigrams(_counted(foreign))
-    return model
+    return Language(model.english, Trigrams(_counted(foreign)) if foreign else None, model.least)
 
 
 @dataclass
 class Model:
-    grade: dict[str, int]  # bin of a known word's grade
-    vocabulary: frozenset[str]
+    known: dict[str, int]  # bin of a word's grade, or -1 where it tells no level
     table: dict[tuple, int]  # share of known words and quantiles of their grades to level, or NONE
     coarse: dict[tuple, int]
     by_median: list[int] | None = None  # level of a document by the median grade of its known words
     language: Language | None = None
 
     def features(self, words: list[str]) -> tuple | None:
-        seen = [w for w in dict.fromkeys(words) if w in self.vocabulary]
-        grades = sorted(self.grade[w] for w in seen if w in self.grade)
+        get = self.known.get
+        seen = [v for v in map(get, dict.fromkeys(words)) if v is not None]
+        grades = sorted([v for v in seen if v >= 0])
         n = len(grades)
         if not n:
             return None
-        return (min(4, 5 * n // len(seen)), *(grades[min(n - 1, int(q * n))] for q in QUANTILES))
+        return (min(4, 5 * n // len(seen)), *[grades[min(n - 1, int(q * n))] for q in QUANTILES])
 
     def sentence_level(self, words: list[str]) -> int:
         key = self.features(words)
@@ -140,7 +147,7 @@ class Model:
 
     def median(self, parts: list[list[str]]) -> int | None:
         """The median grade of all known words."""
-        grades = sorted(self.grade[w] for words in parts for w in words if w in self.grade)
+        grades = sorted(v for words in parts for w in words if (v := self.known.get(w, -1)) >= 0)
         return grades[len(grades) // 2] if grades else None
 
     def document_level(self, text: str | None) -> str | None:
@@ -167,7 +174,7 @@ def fit(texts: list[str], grades: list[float], others: list[str] | None = None)
     place = {w: i for i, w in enumerate(words)}
     rows = [(d, s, ids) for d, parts in enumerate(docs) for s in parts if (ids := [place[w] for w in dict.fromkeys(s) if w in place])]
     if not rows:
-        return Model({}, frozenset(), {}, {})
+        return Model({}, {}, {})
     doc = np.array([d for d, *_ in rows])
     flat = np.concatenate([np.array(ids) for *_, ids in rows])
     sid = np.repeat(np.arange(len(rows)), [len(ids) for *_, ids in rows])
@@ -190,7 +197,7 @@ def fit(texts: list[str], grades: list[float], others: list[str] | None = None)
     share = spread / spread.sum(1, keepdims=True)
     mean = (share[:, :k] * np.arange(k)).sum(1) / share[:, :k].sum(1)
     bins = np.rint(mean / (k - 1) * BINS).astype(int)
-    model = Model({w: int(bins[i]) for i, w in enumerate(words) if share[i, NONE] < KNOWN}, frozenset(words), {}, {})
+    model = Model({w: int(bins[i]) if share[i, NONE] < KNOWN else -1 for i, w in enumerate(words)}, {}, {})
     fine: dict[tuple, np.ndarray] = {}
     coarse: dict[tuple, np.ndarray] = {}
     for (_, s, _), p in zip(rows, post, strict=True):
