@@ -68,28 +68,33 @@ def with_property_key(df: DataFrame, only: list[str] | None = None) -> DataFrame
     return df.join(aliases, name_key(F.col("PROPERTY_NAME")) == F.col("_alias")).drop("_alias")
 
 
-def is_value(text: Column) -> Column:
-    """Neither null nor blank, no placeholder and no mere reference to a note."""
-    t = F.lower(clean(text))
-    return t.isNotNull() & ~F.regexp_replace(t, r"\.$", "").isin(PLACEHOLDERS) & ~t.rlike(r"^\(?(?:see|cf\.?|refer to)\s+(?:the\s+)?(?:note|ref|reference|footnote|remark|table)s?\b\.?\s*\S{0,6}$")
+def is_value(cleaned: Column) -> Column:
+    """Of a cleaned text: not blank, no placeholder and no mere reference to a note."""
+    t = F.lower(cleaned)
+    reference = t.rlike(r"^\(?(?:see|cf\.?|refer to)\s+(?:the\s+)?(?:note|ref|reference|footnote|remark|table)s?\b\.?\s*\S{0,6}$")
+    return ~F.regexp_replace(t, r"\.$", "").isin(PLACEHOLDERS) & ~reference
 
 
 #: What only sets the conditions of a value: at 25 °C, @ 760 mm Hg, (pH 7), (20/4 °C).
 CONDITION = rf"(?i)(?<=\S)\s*(?:@|\bat\b)\s*{NUMBER}\s*(?:°\s?[CFK]|℃|deg ?[CFK]|celsius|kelvin|K|C|F|mm ?Hg|torr|kPa|hPa|Pa|atm|bar)\b|\(\s*pH\s*[\d.]+\s*\)|\(\s*\d+(?:\.\d+)?/\d+\s*°?\s*[CFK]\s*\)"
 
 
-def first_number(text: Column) -> Column:
-    """The first number that belongs to the property itself, not to its conditions or to a unit such as g/100 mL; of a range the lower end."""
-    own = F.regexp_replace(F.regexp_replace(clean(text), r"(?i)^\s*flash(?:es)? at\b", ""), CONDITION, " ")
-    own = F.regexp_replace(own, r"^\[[^\]]*\]", " ")
-    return parse_number(F.regexp_extract(own, rf"(?<![A-Za-z\d.,/^])({NUMBER})", 1))
+def own_text(cleaned: Column) -> Column:
+    """A cleaned text without what sets the conditions of its value, and without a unit in brackets before it. Texts that can't
+    hold any of these are let through unread."""
+    low = F.lower(cleaned)
+    own = F.when(low.contains("flash"), F.regexp_replace(cleaned, r"(?i)^\s*flash(?:es)? at\b", "")).otherwise(cleaned)
+    own = F.when(low.contains("@") | low.contains("at") | low.contains("("), F.regexp_replace(own, CONDITION, " ")).otherwise(own)
+    return F.when(cleaned.startswith("["), F.regexp_replace(own, r"^\[[^\]]*\]", " ")).otherwise(own)
 
 
-def first_integer(text: Column) -> Column:
-    """The same as a whole number: as written where it is one within 64 bits, else the nearest to it; null beyond 64 bits."""
-    own = F.regexp_replace(F.regexp_replace(clean(text), r"(?i)^\s*flash(?:es)? at\b", ""), CONDITION, " ")
-    own = F.regexp_replace(own, r"^\[[^\]]*\]", " ")
-    found = F.regexp_extract(own, rf"(?<![A-Za-z\d.,/^])({NUMBER})", 1)
+def first_number(own: Column) -> Column:
+    """The first number that belongs to the property itself, not to a unit such as g/100 mL, as it is written; of a range the lower end."""
+    return F.regexp_extract(own, rf"(?<![A-Za-z\d.,/^])({NUMBER})", 1)
+
+
+def whole_number(found: Column) -> Column:
+    """A number's text as a whole number: as written where it is one within 64 bits, else the nearest to it; null beyond 64 bits."""
     whole = F.regexp_replace(found, r",(?=\d{3}(?!\d))", "")
     rounded = F.rint(parse_number(found))
     return F.coalesce(F.when(whole.rlike(r"^[+-]?\d+$"), whole.try_cast("bigint")), F.when(~whole.rlike(r"^[+-]?\d+$") & (F.abs(rounded) < 2.0**63), rounded.cast("bigint")))
@@ -98,10 +103,12 @@ def first_integer(text: Column) -> Column:
 def cells(df: DataFrame, catalog: DataFrame) -> DataFrame:
     """CID, property_key, value_type, number, integer, text: one row per cell; of several rows that of the lowest prop_id counts."""
     types = F.broadcast(catalog.select(F.col("property_key").alias("_key"), "value_type"))  # one short row per property
-    keyed = with_property_key(df.select("prop_id", "CID", "PROPERTY_NAME", "PROPERTY_VALUE").where(F.col("CID").isNotNull() & is_value(F.col("PROPERTY_VALUE"))))
+    keyed = with_property_key(df.select("prop_id", "CID", "PROPERTY_NAME", "PROPERTY_VALUE").where(F.col("CID").isNotNull() & F.col("PROPERTY_VALUE").isNotNull()))
+    keep = ["prop_id", "CID", "property_key", "value_type"]
     is_a = lambda t: F.col("value_type") == t
-    value = F.col("PROPERTY_VALUE")
-    typed = computed_once(keyed.join(types, F.col("property_key") == F.col("_key")), "prop_id", "CID", "property_key", "value_type", number=F.when(is_a("number"), first_number(value)), integer=F.when(is_a("integer"), first_integer(value)), text=F.when(is_a("text"), F.trim(value)))
+    rows = computed_once(keyed.join(types, F.col("property_key") == F.col("_key")), *keep, "PROPERTY_VALUE", v=clean(F.col("PROPERTY_VALUE"))).where(is_value(F.col("v")))
+    rows = computed_once(rows, *keep, text=F.when(is_a("text"), F.trim("PROPERTY_VALUE")), found=F.when(~is_a("text"), first_number(own_text(F.col("v")))))
+    typed = computed_once(rows, *keep, "text", number=F.when(is_a("number"), parse_number(F.col("found"))), integer=F.when(is_a("integer"), whole_number(F.col("found"))))
     typed = typed.where(finite(F.col("number")) | F.col("integer").isNotNull() | F.col("text").isNotNull())
     best = F.min(F.struct("prop_id", "number", "integer", "text"))
     return typed.groupBy("CID", "property_key", "value_type").agg(best.alias("b")).select("CID", "property_key", "value_type", "b.number", "b.integer", "b.text")
