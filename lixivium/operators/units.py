@@ -140,22 +140,15 @@ def convert_readings(df: DataFrame, source_defaults: DataFrame | None = None) ->
     rows = computed_once(rows, *keep[:3], *keep[4:], "n", "kind", number=parse_number(F.substring_index("cut", _CUT, 1)), text=said, field=field).where(finite(F.col("number")))
     name, told = clean(F.col("name")), clean(F.col("description"))
     neither = F.col("text").isNull() & F.col("field").isNull()
-    rows = computed_once(
-        rows,
-        *keep[:1],
-        *keep[4:],
-        "kind",
-        "number",
-        "text",
-        field=F.when(F.col("text").isNull() | F.col("field").isNull(), F.col("field")).when(~F.col("text").rlike(NO_NOTE), F.col("field")),  # few rows have both
-        own=F.coalesce("text", "field"),
-        named=F.when(neither & F.col("n").rlike(r"[\])]$|, | in "), _lower(F.coalesce(_first(name, r"[\[(]\s*([^\[\]()]+?)\s*[\])]$"), _first(name, r",\s*(\S.*)$"), _first(name, r"\bin (\S.*)$")))),
-        told=F.when(neither & F.col("description").isNotNull(), _lower(_first(told, STATED))),
-    )
+    named = F.when(neither & F.col("n").rlike(r"[\])]$|, | in "), _lower(F.coalesce(_first(name, r"[\[(]\s*([^\[\]()]+?)\s*[\])]$"), _first(name, r",\s*(\S.*)$"), _first(name, r"\bin (\S.*)$"))))
+    stated = F.when(neither & F.col("description").isNotNull(), _lower(_first(told, STATED)))
+    beside = F.when(F.col("text").isNotNull() & F.col("field").isNotNull() & ~F.col("text").rlike(NO_NOTE), F.col("field"))
+    # Of text, field, name and description at most two can be looked at: the text and the field beside it, the field, or both of the others.
+    rows = computed_once(rows, *keep[:1], *keep[4:], "kind", "number", own=F.coalesce("text", "field"), first=F.coalesce(F.col("text"), F.col("field"), named), second=F.coalesce(beside, stated))
     if source_defaults is not None:
         rows = rows.withColumnRenamed("source", "_source")
     molar = F.when(F.col("kind") == "p_potency", F.lit("potency")).otherwise(F.col("kind"))
-    places = ("text", "field", "named", "told")
+    places = ("first", "second")
     for col in places:
         t = unit_table(spark).select(F.col("u_kind").alias(f"{col}_kind"), F.col("u_alias").alias(f"{col}_alias"), F.struct(F.col("u_alias").alias("alias"), F.col("u_factor").alias("factor"), F.col("u_offset").alias("offset")).alias(f"{col}_unit"))
         rows = rows.join(t, (molar == F.col(f"{col}_kind")) & (F.col(col) == F.col(f"{col}_alias")), "left").drop(f"{col}_kind", f"{col}_alias")
