@@ -14,7 +14,7 @@ def topn_means(log: DataFrame, max_calls: int, tops: tuple[int, ...] = (1, 10, 1
     return ranked.agg(*[F.round(F.avg(F.when(F.col("rn") <= n, F.col("score"))), 6).alias(f"top_{n}") for n in tops])
 
 
-SPAN = 512  # buckets that are folded together
+SPAN = 1024  # buckets that are folded together
 
 
 def running_tops(log: DataFrame, freq: int, tops: tuple[int, ...]) -> DataFrame:
@@ -24,17 +24,12 @@ def running_tops(log: DataFrame, freq: int, tops: tuple[int, ...]) -> DataFrame:
     before leave, so that no task holds more than a span's buckets, or one row a span.
     """
     most = max(tops)
-    best = Window.partitionBy("b").orderBy(F.col("score").desc())
-    few = log.where(F.col("score").isNotNull()).select(F.expr(f"(call_idx - 1) div {freq}").alias("b"), "score").withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= most)
-    buckets = few.groupBy("b").agg(F.collect_list("score").alias("s")).withColumn("span", F.expr(f"b div {SPAN}"))
     keep = lambda a: F.slice(F.sort_array(a, asc=False), 1, most)
+    scored = log.where(F.col("score").isNotNull()).select(F.expr(f"(call_idx - 1) div {freq}").alias("b"), "score")
+    buckets = scored.groupBy("b").agg(keep(F.collect_list("score")).alias("s")).withColumn("span", F.expr(f"b div {SPAN}"))  # of freq calls each
     spans = buckets.groupBy("span").agg(F.array_sort(F.collect_list(F.struct("b", "s"))).alias("bs")).withColumn("top", keep(F.flatten(F.transform("bs", lambda x: x["s"]))))
-    ends = spans.select("span", "top")
-    wide = Window.orderBy("wide").rowsBetween(Window.unboundedPreceding, -1)  # one row a span of spans
-    inner = Window.partitionBy("wide").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    grouped = ends.withColumn("wide", F.expr(f"span div {SPAN}"))
-    before = grouped.groupBy("wide").agg(keep(F.flatten(F.collect_list("top"))).alias("t")).withColumn("outer", keep(F.flatten(F.collect_list("t").over(wide)))).drop("t")
-    starts = grouped.withColumn("inner", keep(F.flatten(F.collect_list("top").over(inner)))).join(before, "wide").select("span", keep(F.concat("inner", "outer")).alias("start"))
+    earlier = Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)  # one row a span, of the best scores only
+    starts = spans.select("span", keep(F.flatten(F.collect_list("top").over(earlier))).alias("start"))
     mean = lambda a, n: F.aggregate(F.slice(a, 1, n), F.lit(0.0), lambda t, x: t + x) / F.least(F.size(a), F.lit(n))
     state = F.struct(F.col("start").alias("a"), F.array().cast("array<struct<b:bigint,means:array<double>>>").alias("out"))
 
