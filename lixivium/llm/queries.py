@@ -54,6 +54,11 @@ def p2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.class_links(overlap.staged(table(spark, sf_dir, "compounds")))
 
 
+def p2_cid_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of these the pairs by CID."""
+    return p2_links(spark, sf_dir).where(F.col("field") == "cid").select(F.col("e_class").alias("class_id"), "same", "n_eval", "n_train")
+
+
 def p2_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The classes of each record, by its text and by its CID."""
     return overlap.members(overlap.staged(table(spark, sf_dir, "compounds")))
@@ -78,6 +83,15 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split_records(table(spark, sf_dir, "assay_compounds"))
 
 
+def p3_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per text above the limit its length, and whether its pieces cover it from end to end, none too long, none sharing too much."""
+    parts = p3_pieces(spark, sf_dir)
+    per = parts.groupBy("record_id", "assay_pos", "field").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("p"))  # the pieces of one text
+    joints = F.zip_with(F.expr("slice(p, 1, size(p) - 1)"), F.expr("slice(p, 2, size(p))"), lambda a, b: (b["start"] <= a["end"]) & (a["end"] - b["start"] <= split.OVERLAP) & (b["start"] > a["start"]) & (b["end"] > a["end"]))
+    whole = (F.element_at("p", 1)["start"] == 0) & F.forall(joints, lambda x: x) & F.forall("p", lambda x: (x["end"] - x["start"]).between(1, split.LIMIT))
+    return per.select("record_id", F.col("assay_pos").cast("bigint").alias("assay_pos"), "field", F.element_at("p", -1)["end"].cast("bigint").alias("n"), whole.alias("covered"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode(table(spark, sf_dir, "documents"))
 
@@ -125,7 +139,7 @@ def rejection_samples_500(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.rejection_samples(spark, sf_dir, tokenize.counts)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_blocks, p1_tokens, p1_placed, p1_overfull, p2_found, p2_overlaps, p2_links, p2_members, p2_cid_members, p2_report, p3_found, p3_pieces, p7_ids, p7_round_trip, p8_mix, p8_shares, p8_overused, p9_found, p9_profile, rejection_samples_500)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_blocks, p1_tokens, p1_placed, p1_overfull, p2_found, p2_overlaps, p2_links, p2_cid_links, p2_members, p2_cid_members, p2_report, p3_found, p3_pieces, p3_covered, p7_ids, p7_round_trip, p8_mix, p8_shares, p8_overused, p9_found, p9_profile, rejection_samples_500)}
 
 _KEPT = "len(list_filter(range(1, coalesce(len(input_ids), 0) + 1), lambda i: input_ids[i] is not null and coalesce(attention_mask[i], 1) = 1))"
 
@@ -136,6 +150,15 @@ SQL = {
     "p2_cid_members": """
         with c as (select distinct on (record_id) record_id, CID, lower(trim(split)) as s from compounds where record_id is not null order by record_id)
         select record_id, case when s like 'train%' then 'train' when s like 'val%' or s = 'dev' then 'validation' else 'test' end as part, 'cid' as field, md5(concat('cid:', CID)) as class_id from c where CID > 0 and (s like 'train%' or s like 'val%' or s = 'dev' or s like 'test%')""",
+    "p2_cid_links": """
+        with c as (select distinct on (record_id) record_id, CID, lower(trim(split)) as s from compounds where record_id is not null order by record_id),
+        k as (select CID, count(*) filter (s like 'train%') as n_train, count(*) filter (s like 'val%' or s = 'dev' or s like 'test%') as n_eval from c where CID > 0 group by 1)
+        select md5(concat('cid:', CID)) as class_id, true as same, n_eval, n_train from k where n_train > 0 and n_eval > 0""",
+    "p3_covered": """
+        with a as (select distinct record_id, unnest(range(len(assays))) as assay_pos, unnest(assays) as x from assay_compounds where record_id is not null),
+        t as (select record_id, assay_pos, 'description' as field, length(x.description) as n from a
+            union all select record_id, assay_pos, 'variables', length(array_to_string(list_transform(x.variables, lambda v: array_to_string([c for c in [v.name, v.description, v.value, v.unit] if c is not null], ' | ')), chr(10))) from a)
+        select *, true as covered from t where n > 2500""",
     "p7_round_trip": "select doc_id, true as same from documents",
     "p8_overused": "select source, false as overused from mix_targets",
     "p3_found": """
