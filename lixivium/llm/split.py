@@ -34,17 +34,27 @@ def _is_joint(text: str, at: int) -> bool:
     return not (unicodedata.combining(nxt) or nxt in "‍︎️" or prev == "‍" or (prev == "\r" and nxt == "\n"))
 
 
-def boundaries(text: str) -> list[list[int]]:
-    """For each level the places in the text, ascending, where it may be cut; a level has those of the levels above."""
-    out: list[list[int]] = []
-    above: set[int] = set()
-    for sep in SEPARATORS:
-        above = above | {m.end() for m in sep.finditer(text) if 0 < m.end() < len(text)}
-        out.append(sorted(above))
-    return out
+class Boundaries:
+    """For each level the places in a text, ascending, where it may be cut; a level has those of the levels above. Each is looked
+    for when it is first asked for: most texts are cut without their words being told apart."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.found: list[list[int]] = []
+
+    def __len__(self) -> int:
+        return len(SEPARATORS)
+
+    def __getitem__(self, level: int) -> list[int]:
+        n = len(self.text)
+        while len(self.found) <= level:
+            own = [e for m in SEPARATORS[len(self.found)].finditer(self.text) if 0 < (e := m.end()) < n]
+            above = self.found[-1] if self.found else []
+            self.found.append(sorted({*above, *own}) if above else own)
+        return self.found[level]
 
 
-def parts(text: str, lo: int, hi: int, most: int, cuts: list[list[int]], level: int = 0) -> Iterator[tuple[int, int]]:
+def parts(text: str, lo: int, hi: int, most: int, cuts: Boundaries, level: int = 0) -> Iterator[tuple[int, int]]:
     """Adjacent parts of text[lo:hi] of at most so many characters, cut at the highest level possible."""
     if hi - lo <= most:
         yield lo, hi
@@ -70,7 +80,7 @@ def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[
     n = len(text)
     if n <= limit:
         return [(0, n)] if n else []
-    cuts = boundaries(text)
+    cuts = Boundaries(text)
     out: list[tuple[int, int]] = []
     start = end = 0
     for a, b in parts(text, 0, n, limit - overlap, cuts):
@@ -78,13 +88,14 @@ def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[
             out.append((start, end))
             low = max(a - overlap, b - limit)
             start = a
-            for level in cuts[1:]:  # the furthest back within the overlap, at the highest level that has one there
-                i = bisect_left(level, low)
-                if i < len(level) and level[i] < a:
-                    start = level[i]
+            for level in range(1, len(cuts)):  # the furthest back within the overlap, at the highest level that has one there
+                places = cuts[level]
+                i = bisect_left(places, low)
+                if i < len(places) and places[i] < a:
+                    start = places[i]
                     break
             else:
-                if low < a and not _near(cuts[-1], low, a):
+                if low < a and not _near(cuts[len(cuts) - 1], low, a):
                     start = next((p for p in range(low, a) if p == 0 or _is_joint(text, p)), a)
         end = b
     out.append((start, end))
