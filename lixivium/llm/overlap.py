@@ -168,11 +168,14 @@ def chunk_counts(classes_: DataFrame) -> np.ndarray:
     return np.minimum(out, 2**31 - 1).astype(np.int32)
 
 
-PREFIX_SCHEMA = "digest bigint, class_id string, field string, n int, digests array<bigint>, lens array<int>"
+PREFIX_SCHEMA = "digest bigint, left int, class_id string, field string, n int, digests array<bigint>, lens array<int>"
 
 
 def _prefix(classes_: DataFrame, counts, near: float) -> DataFrame:
-    """A row for each of the rarest chunks of each class: so many that the others' lengths stay below near times the text's."""
+    """A row for each of the rarest chunks of each class: so many that the others' lengths stay below near times the text's.
+
+    left: the length of this chunk and of all less rare ones, the most that a class can share that has none of the rarer ones.
+    """
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = counts.value
@@ -188,8 +191,8 @@ def _prefix(classes_: DataFrame, counts, near: float) -> DataFrame:
             starts = np.r_[0, np.cumsum(sizes)[:-1]] if len(sizes) else sizes
             inside = before - np.repeat(before[np.minimum(starts, max(len(before) - 1, 0))] if len(before) else starts, sizes)
             taken = np.flatnonzero(total - inside >= near * total - 1e-9)
-            rows = pa.array(owner[taken])
-            yield pa.RecordBatch.from_arrays([pa.array(found[taken]), *[batch.column(c).take(rows) for c in ("class_id", "field", "n", "digests", "lens")]], names=[c.split()[0] for c in PREFIX_SCHEMA.split(", ")])
+            rows, left = pa.array(owner[taken]), (total - inside)[taken].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(found[taken]), pa.array(left), *[batch.column(c).take(rows) for c in ("class_id", "field", "n", "digests", "lens")]], names=[c.split()[0] for c in PREFIX_SCHEMA.split(", ")])
 
     return classes_.select("class_id", "field", "n", "digests", "lens").mapInArrow(choose, PREFIX_SCHEMA)
 
@@ -199,8 +202,10 @@ def links(classes_: DataFrame, near: float = NEAR) -> DataFrame:
     least near of the longer text. same: the texts are equal. A class with records on both sides is linked to itself.
     """
     counts = classes_.sparkSession.sparkContext.broadcast(chunk_counts(classes_))
-    side = lambda some, s: _prefix(classes_.where(F.col(some) > 0), counts, near).select("digest", *[F.col(c).alias(f"{s}_{c}") for c in ("class_id", "field", "n", "digests", "lens")])
-    met = side("n_eval", "e").join(side("n_train", "t"), "digest")
+    side = lambda some, s: _prefix(classes_.where(F.col(some) > 0), counts, near).select("digest", *[F.col(c).alias(f"{s}_{c}") for c in ("left", "class_id", "field", "n", "digests", "lens")])
+    # At the rarest chunk that both have nothing they share lies before it: what is left must do there, which loses no pair.
+    enough = F.least("e_left", "t_left") >= F.lit(near) * F.greatest("e_n", "t_n") - 1e-9
+    met = side("n_eval", "e").join(side("n_train", "t"), "digest").where(enough)
     known = F.map_from_arrays("t_digests", "t_lens")  # digests are distinct within a class
     each = F.zip_with("e_digests", "e_lens", lambda d, n: F.least(n, F.coalesce(F.try_element_at(known, d), F.lit(0))))
     rows = met.withColumn("shared", F.aggregate(each, F.lit(0), lambda s, x: s + x)).withColumn("overlap", F.col("shared") / F.greatest("e_n", "t_n"))
@@ -234,14 +239,17 @@ def _looked_up(rows: DataFrame, small: DataFrame, key: str) -> DataFrame:
     return by_join.unionByName(here)
 
 
-def pairs(recs: DataFrame) -> DataFrame:
+def pairs(recs: DataFrame, near: float = NEAR) -> DataFrame:
     """record_id_a, record_id_b, smaller first: one training and one evaluation record of the same molecule or positive CID.
 
-    Pairs of classes come from links with overlap 1 and equal texts. The records of a class are paired in pieces: its evaluation
-    rows are dealt to as many salts as they fill, its training rows go to each, so a class of any size is many bounded tasks.
+    All links from near on are found and kept in the shared folder; pairs of classes are those of overlap 1 and equal texts among
+    them, so near changes no row. Were the links not kept, Spark would carry that condition into their join, and no class would
+    meet another. The records of a class are paired in pieces: its evaluation rows are dealt to as many salts as they fill, its
+    training rows go to each, so a class of any size is many bounded tasks.
     """
     all_ = classes(recs)
-    full = links(all_, 1.0).where("same").select(F.col("e_class").alias("class_id"))
+    found = stage(recs.sparkSession, links(all_, near), "overlap-links")
+    full = found.where("same").select(F.col("e_class").alias("class_id"))
     total = all_.agg(F.sum(F.col("n_train") + F.col("n_eval")).alias("total"))
     sizes = all_.select("class_id", "n_train", "n_eval").join(full, "class_id").join(F.broadcast(total))
     info = sizes.select("class_id", F.ceil(F.col("n_eval") / SALT_ROWS).cast("int").alias("salts"), ((F.col("n_train") + F.col("n_eval")) * HOT > F.col("total")).alias("hot"))

@@ -235,6 +235,40 @@ def test_near_links_equal_brute_force(spark):
                 assert name[rows_[r[0]]["near_class"]] in others
 
 
+@pytest.mark.parametrize("near", [None, 0.5])
+def test_pairs_are_taken_from_all_near_links(spark, monkeypatch, near):
+    """What p2_found reads its pairs from has every near link of the brute force, not only classes met with themselves."""
+    import hashlib
+    from collections import Counter
+
+    rng = random.Random(11)
+    units = ["CC(C)", "c1ccccc1", "C(=O)N", "CCO", "C1CCNCC1", "S(=O)(=O)", "C#N", "OC(F)(F)F", "N(C)C", "C(Br)C"]
+    rows, i = [], 0
+    for _ in range(12):
+        base = "".join(rng.choice(units) for _ in range(20))
+        rows += [((i := i + 1), None, f"C{base}{end}", "train" if k % 2 else "test", "a") for k, end in enumerate(["F", "F", "Cl", "Br", "I"])]
+    texts = molecule.canonical_texts([r[2] for r in rows])
+    chunks = {t: Counter(overlap.cut_chunks(t)) for t in texts}
+    shared = lambda a, b: sum(len(c) * min(n, chunks[b][c]) for c, n in chunks[a].items())
+    least = near or overlap.NEAR
+    met = [(e, t, a, b) for e, a in zip(rows, texts, strict=True) for t, b in zip(rows, texts, strict=True) if (e[3], t[3]) == ("test", "train") and shared(a, b) >= least * max(len(a), len(b))]
+    kept = {}
+
+    def stage(session, df, name, *rest):
+        kept[name] = out = staged(session, df, name, *rest)
+        return out
+
+    staged = overlap.stage
+    monkeypatch.setattr(overlap, "stage", stage)
+    got = overlap.pairs(overlap.staged(spark.createDataFrame(rows, COMPOUND)), *([near] if near else []))
+    ids = lambda t: hashlib.md5(f"smiles:{t}".encode()).hexdigest()
+    expected = sorted({(ids(a), ids(b), a == b) for _, _, a, b in met})
+    assert sum(not same for *_, same in expected) >= 5
+    assert "overlap-links" in kept, f"only {sorted(kept)} are kept"
+    assert sorted(tuple(r) for r in kept["overlap-links"].select("e_class", "t_class", "same").collect()) == expected
+    assert sorted(tuple(r) for r in got.collect()) == sorted((min(e[0], t[0]), max(e[0], t[0])) for e, t, a, b in met if a == b)
+
+
 def test_one_molecule_may_be_most_of_the_table(spark):
     rows = [(i, None, "CCO" if i % 3 else "C" * (i % 50 + 1), "test" if i % 50 == 0 else "train", "a") for i in range(1, 1000)]
     recs = overlap.staged(spark.createDataFrame(rows, COMPOUND))
